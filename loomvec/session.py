@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,17 +23,29 @@ def get_session(app: str = "loomvec", cpus: int | str = "*", partitions: int = 8
     )
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by spark.checkpoint.dir.
 
-    Only where the cluster names none (tests, local mode) is one created."""
+    Only where the session names none (tests, local mode) is one created."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="loomvec-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not _own_dir:
+            _own_dir.append("file://" + tempfile.mkdtemp(prefix="loomvec-shared-"))
+        named = _own_dir[0]
     return named.rstrip("/")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written as a table to the shared folder and read again: cuts lineage
+    and outlives executors."""
+    path = f"{shared_dir(df.sparkSession)}/loomvec/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
