@@ -75,8 +75,9 @@ class ByteBpe:
         ids, n = [], []
         for group, e in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
             ids.append(np.array(e.ids, dtype=np.int32))
-            n.append(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(group)))
-            assert len(n[-1]) == len(group)
+            first = np.flatnonzero(self.bytes[self.starts[ids[-1]]] == 0x20)  # the only spaces are those that begin a pre-token
+            assert len(first) == len(group)
+            n.append(np.diff(first, append=len(ids[-1])))
         for e in self.library.encode_batch_fast(rest, add_special_tokens=False):
             ids.append(np.array(e.ids, dtype=np.int32))
             n.append(np.array([len(e.ids)]))
