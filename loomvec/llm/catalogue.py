@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomvec.llm import bpe
+from loomvec.llm import bpe, exact_topk, warc
 from loomvec.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,3 +19,27 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_byte_bpe"] = op1_byte_bpe
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = warc.chunk_table(table(spark, sf_dir, "pages"), "page_id", "html")
+    return chunks.withColumn("payload", F.translate(F.base64("payload"), "\r\n", ""))  # without MIME line ends
+
+
+QUERIES["op5_warc"] = op5_warc
+ORACLES["op5_warc"] = f"""
+SELECT page_id, CAST(i AS INTEGER) AS chunk_no, CAST(i * {warc.CHUNK_BYTES} AS BIGINT) AS byte_from,
+       CAST(least({warc.CHUNK_BYTES}, n - i * {warc.CHUNK_BYTES}) AS INTEGER) AS n_bytes,
+       base64(b[i * {warc.CHUNK_BYTES} + 1 : (i + 1) * {warc.CHUNK_BYTES}]) AS payload,
+       sha1(b[1 : (i + 1) * {warc.CHUNK_BYTES}]) AS prefix_sha1,
+       i = greatest(n - 1, 0) // {warc.CHUNK_BYTES} AS is_last
+FROM (SELECT page_id, b, n, unnest(range(greatest(n - 1, 0) // {warc.CHUNK_BYTES} + 1)) AS i
+      FROM (SELECT page_id, encode(html) AS b, CAST(octet_length(encode(html)) AS BIGINT) AS n FROM pages WHERE html IS NOT NULL))"""
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), k=10)
+
+
+QUERIES["op10_exact_topk"] = op10_exact_topk
+ORACLES["op10_exact_topk"] = exact_topk.ORACLE
