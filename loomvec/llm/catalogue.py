@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvec.llm import bpe, exact_topk, language, warc
+from loomvec.llm import bpe, exact_topk, language, toxicity, warc
 from loomvec.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_language"] = op4_language
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.find(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES["op9_toxicity"] = op9_toxicity

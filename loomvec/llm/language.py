@@ -20,7 +20,6 @@ text all Latin words are "und"."""
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomvec.llm.textarrays import Words, slices
+
 BUCKETS = 1 << 16
 #: Pseudo-count that spreads mass over trigrams a language hasn't shown, log-odds that a switch costs, and
 #: what "und" gets per letter beside a flat distribution.
 PRIOR, SWITCH, UND_BONUS = 0.5, 8.0, -1.0
-SLICE = 4_000_000  # characters worked on at once; changes no result
 
 #: Ranges of letters and the languages written with them; "*" stands for all trained languages.
 SCRIPTS: list[tuple[int, int, tuple[str, ...]]] = [
@@ -49,53 +49,19 @@ SEEN = "lang string, bucket int, n bigint"
 
 
 @lru_cache(1)
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: its lower-case form, a blank where it is no letter or mark; and
-    its script's place in KINDS, -1 for others."""
-    lower = np.full(0x110000, 0x20, dtype=np.uint32)
-    for c in range(0x110000):
-        if unicodedata.category(ch := chr(c))[0] in "LM":
-            small = ch.lower()
-            lower[c] = ord(small) if len(small) == 1 else c
+def script_table() -> np.ndarray:
+    """A code point's script as a place in KINDS, -1 for others."""
     kind = np.full(0x110000, -1, dtype=np.int8)
     for a, b, langs in SCRIPTS:
         kind[a : b + 1] = KINDS.index(langs)
-    return lower, kind
-
-
-class Words:
-    """The words of some texts as arrays: trigram buckets of all letters, where each
-    word begins among letters and in the characters, and how many each text has."""
-
-    def __init__(self, texts: list[str | None]):
-        lower, kind = tables()
-        joined = np.frombuffer(("\n".join(t or "" for t in texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        c = np.concatenate([[np.uint32(0x20)], lower[joined]]).astype(np.uint64)
-        letter = c != 0x20
-        at = np.flatnonzero(letter)
-        h = (c[at - 1] * np.uint64(0x9E3779B97F4A7C15) + c[at] * np.uint64(0xC2B2AE3D27D4EB4F) + c[at + 1] * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
-        self.buckets = (h >> np.uint64(48)).astype(np.int32)
-        first = ~letter[at - 1]
-        self.word_at = np.flatnonzero(first)
-        self.char_from = at[self.word_at] - 1
-        self.char_to = at[np.flatnonzero(~letter[at + 1])]
-        self.kind = kind[joined[self.char_from]]
-        sizes = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
-        self.text_at = np.concatenate([[0], np.cumsum(sizes)])
-        self.text_words = np.searchsorted(self.char_from, self.text_at)
-
-
-def slices(texts: list[str | None], most: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about so many characters; a longer text is a range by itself."""
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if size and size + n > most:
-            yield begin, i
-            begin, size = i, 0
-        size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+    return kind
+
+
+def trigram_buckets(words: Words) -> np.ndarray:
+    """The hashed trigram around each letter; beside a word are blanks."""
+    c, at = words.chars.astype(np.uint64), words.at
+    h = (c[at - 1] * np.uint64(0x9E3779B97F4A7C15) + c[at] * np.uint64(0xC2B2AE3D27D4EB4F) + c[at + 1] * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(48)).astype(np.int32)
 
 
 def trigram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -109,7 +75,7 @@ def trigram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 own = [t for t, x in zip(texts, langs) if x == lang]
                 n = seen.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 for a, b in slices(own):
-                    n += np.bincount(Words(own[a:b]).buckets, minlength=BUCKETS)
+                    n += np.bincount(trigram_buckets(Words(own[a:b])), minlength=BUCKETS)
         for lang, n in seen.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": at.astype(np.int32), "n": n[at]})
@@ -136,10 +102,12 @@ class LanguageModel:
         if not len(out):
             return out
         und = len(self.languages)
+        buckets = trigram_buckets(words)
         for k in range(und + 1):
-            out[:, k] = np.add.reduceat(self.log_p[k][words.buckets], words.word_at)
-        for kind in np.unique(words.kind):
-            of = words.kind == kind
+            out[:, k] = np.add.reduceat(self.log_p[k][buckets], words.word_at)
+        kinds = script_table()[words.source[words.char_from]]
+        for kind in np.unique(kinds):
+            of = kinds == kind
             langs = KINDS[kind] if kind >= 0 else ()
             for k, lang in enumerate(self.languages):
                 if "*" not in langs and lang not in langs:
