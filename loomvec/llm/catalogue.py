@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvec.llm import bpe, exact_topk, language, toxicity, warc
+from loomvec.llm import bpe, exact_topk, language, simhash, toxicity, warc
 from loomvec.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_toxicity"] = op9_toxicity
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_simhash"] = op3_simhash
