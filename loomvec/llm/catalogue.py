@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvec.llm import bpe, exact_topk, language, simhash, toxicity, warc
+from loomvec.llm import bpe, exact_topk, language, packing, simhash, toxicity, warc
 from loomvec.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_simhash"] = op3_simhash
+
+
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_best_fit"] = op8_best_fit
