@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvec.llm import bpe, exact_topk, language, packing, simhash, toxicity, warc
+from loomvec.llm import bpe, exact_topk, language, licenses, packing, simhash, toxicity, warc
 from loomvec.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,11 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_best_fit"] = op8_best_fit
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+QUERIES["op2_licenses"] = op2_licenses
+ORACLES["op2_licenses"] = licenses.oracle()
