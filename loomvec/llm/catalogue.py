@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomvec.llm import bpe, exact_topk, language, licenses, packing, simhash, toxicity, warc
+from loomvec.llm import bpe, exact_topk, language, licenses, packing, permutation_index, simhash, toxicity, urls, warc
 from loomvec.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,18 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op2_licenses"] = op2_licenses
 ORACLES["op2_licenses"] = licenses.oracle()
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.score(pages, urls.train(pages))
+
+
+QUERIES["op7_url_filter"] = op7_url_filter
+
+
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), k=10)
+
+
+QUERIES["op6_permutation_index"] = op6_permutation_index
