@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomvec.errors import DimensionMismatch
 from loomvec.functions.vectors import cosine, dot, total
 from loomvec.operators.pooling import matrix
+from loomvec.operators.retrieval import top_k
+
+BLOCK_BYTES = 64 << 20
 
 
 def maxsim(query: Column | str, doc: Column | str) -> Column:
@@ -25,3 +33,59 @@ def maxsim_long(scores: DataFrame, query: str = "qid", doc: str = "did", token:
     """The same from a row for each pair of tokens: a maximum, then a sum."""
     best = scores.groupBy(query, doc, token).agg(F.max(score).alias("best"))
     return best.groupBy(query, doc).agg(F.sum("best").alias(score))
+
+
+def maxsim_knn(queries: DataFrame, corpus: DataFrame, k: int, binary: bool = False, query: str = "qid", doc: str = "did", q_tokens: str = "q", d_tokens: str = "d") -> DataFrame:
+    """query, doc, score, rank: the k best documents of every query by maxsim, or by its
+    quantised form on sign bits.
+
+    The queries' tokens go out in blocks of at most BLOCK_BYTES, a row each, joined with every
+    partition of the corpus; products are matrix products over a batch, and each
+    batch keeps k documents a query. Empty and null token lists are left out."""
+    queries = queries.where(F.size(q_tokens) > 0).select(F.col(query).cast("bigint").alias(query), matrix(q_tokens).alias("q"))
+    corpus = corpus.where(F.size(d_tokens) > 0).select(F.col(doc).cast("bigint").alias(doc), matrix(d_tokens).alias("d"))
+    schema = f"`{query}` bigint, `{doc}` bigint, score double"
+    size = queries.agg(F.sum(F.size("q").cast("bigint") * F.size(F.element_at("q", 1)) * 8)).first()[0]
+    if not size:
+        return queries.sparkSession.createDataFrame([], schema + ", rank int")
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    parts = queries.withColumn("block", F.pmod(F.xxhash64(query), F.lit(blocks)))
+    found = None
+    for b in range(blocks):
+        table = parts.where(F.col("block") == b).select(query, "q").toArrow().combine_chunks()
+        if table.num_rows:
+            held = queries.sparkSession.sparkContext.broadcast((table[query].to_numpy(), *_tokens(table["q"].combine_chunks(), binary)))
+            own = corpus.mapInArrow(_scorer(held, k, binary, [query, doc, "score"]), schema)
+            found = own if found is None else found.unionAll(own)
+    return top_k(found, k, query, doc)
+
+
+def _tokens(column: pa.Array, binary: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All token vectors and where each list's begin."""
+    sizes = column.value_lengths().to_numpy()
+    inner = column.flatten()
+    width = set(inner.value_lengths().to_pylist())
+    if len(width) != 1:
+        raise DimensionMismatch(min(width), max(width))
+    rows = inner.flatten().to_numpy(zero_copy_only=False).reshape(len(inner), -1)
+    return (np.where(rows >= 0, 1.0, -1.0) if binary else rows), np.cumsum(sizes) - sizes
+
+
+def _scorer(held, k: int, binary: bool, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_id, q, q_at = held.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                d, d_at = _tokens(part.column(1), binary)
+                if d.shape[1] != q.shape[1]:
+                    raise DimensionMismatch(q.shape[1], d.shape[1])
+                products = q @ d.T
+                if binary:
+                    products = (products + q.shape[1]) / 2
+                scores = np.add.reduceat(np.maximum.reduceat(products, d_at, axis=1), q_at, axis=0)
+                ids = np.broadcast_to(part.column(0).to_numpy(), scores.shape)
+                order = np.lexsort((ids, -scores), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, order.shape[1])), pa.array(np.take_along_axis(ids, order, 1).ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=names)
+
+    return run
