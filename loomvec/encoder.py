@@ -61,8 +61,8 @@ class HashEncoder:
             return df.withColumn(out_col, F.transform(distinct, lambda i: F.struct(i.alias("index"), weight(i).alias("weight"))))
         distinct = F.array_distinct(found)
         n = F.greatest(F.size(distinct), F.lit(1))
-        sums = F.array(*(F.aggregate(distinct, F.lit(0.0), lambda s, w, d=d: s + hash_value(w, d)) / n for d in range(self.dimension)))
-        return df.withColumn(out_col, l2_normalize(sums))
+        total = lambda d: F.aggregate(distinct, F.lit(0.0), lambda s, w: s + hash_value(w, d))
+        return df.withColumn(out_col, l2_normalize(F.array(*(total(d) / n for d in range(self.dimension)))))
 
 
 @dataclass(frozen=True)

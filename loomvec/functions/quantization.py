@@ -16,8 +16,8 @@ from loomvec.functions.vectors import col, doubles
 def pack_bits(v: Column | str) -> Column:
     """The bytes of a binary-quantised vector; NaN counts as negative."""
     v = doubles(v)
-    bits = F.transform(v, lambda x, i: F.when(~F.isnan(x) & (x >= 0), F.shiftleft(F.lit(1), (i % 8).cast("int"))).otherwise(0))
-    count = F.expr("0") + F.ceil(F.size(v) / 8).cast("int")
+    bits = F.transform(v, lambda x, i: F.when(~F.isnan(x) & (x >= 0), F.call_function("shiftleft", F.lit(1), (i % 8).cast("int"))).otherwise(0))
+    count = F.ceil(F.size(v) / 8).cast("int")
     return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda b: F.aggregate(F.slice(bits, b * 8 + 1, 8), F.lit(0), lambda s, x: s + x))
     )
