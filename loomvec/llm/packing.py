@@ -9,7 +9,7 @@ of equal bins, so their cost depends on the capacity, not on the documents. The
 plan is a table of runs (length, ranks, bins), and each document finds its bin by
 its rank among those of its length.
 
-The dominance used, for the largest remaining length w with room r = capacity - w:
+The dominance used, for any remaining length w with room r = capacity - w:
   * no remaining document fits beside it: it is alone;
   * one of length exactly r is left: the two fill the bin;
   * let x be the longest that fits. If not even the two shortest others fit
@@ -74,8 +74,10 @@ class Lengths:
             self.order.remove(w)
         return first
 
-    def longest_up_to(self, room: int) -> int | None:
+    def longest_up_to(self, room: int, but: int | None = None) -> int | None:
+        """The longest that fits, other than one of length `but`."""
         i = bisect_left(self.order, room + 1)
+        i -= bool(i) and self.order[i - 1] == but
         return self.order[i - 1] if i else None
 
     def shortest(self, k: int, less: int | None = None) -> list[int]:
@@ -104,38 +106,40 @@ class Lengths:
         return best
 
 
+def dominant(lengths: Lengths, w: int, room: int) -> tuple[int, int] | None:
+    """The other document that dominates all that could lie beside one of length w, 0 for
+    none, and in how many bins alike; None where no dominance holds."""
+    n = lengths.n[w]
+    x = lengths.longest_up_to(room, w if n == 1 else None)
+    if x is None:
+        return 0, n
+    if x < room:
+        two = lengths.shortest(2, w)
+        if len(two) == 2 and sum(two) <= room:
+            three = lengths.shortest(3, w)
+            if (len(three) == 3 and sum(three) <= room) or lengths.best_pair(room, w) > x:
+                return None
+    return x, min(n, lengths.n[x]) if x != w else n // 2
+
+
 def reduce(lengths: Lengths, capacity: int, next_bin: int = 0) -> tuple[list[Run], int]:
-    """The bins that dominance fixes, and the next free number. Stops at the first
-    largest document for which no dominance holds; best fit takes over from there."""
+    """The bins that dominance fixes, and the next free number. Every length is tried,
+    longest first, again and again until a pass fixes nothing; best fit takes over from there."""
     runs: list[Run] = []
-    while lengths.order:
-        w = lengths.order[-1]
-        room = capacity - w
-        n = lengths.n[w]
-        x = lengths.longest_up_to(room)
-        if x == w and n == 1:  # no second of its own length
-            i = len(lengths.order) - 2
-            x = lengths.order[i] if i >= 0 else None
-        if x is None:
-            runs.append(Run(w, lengths.take(w, n), 1, next_bin, n, 0, True))
-            next_bin += n
-            continue
-        # how many bins alike the same argument fixes at once
-        many = min(n, lengths.n[x]) if x != w else n // 2
-        exact = x == room
-        if not exact:
-            two = lengths.shortest(2, w)
-            single = len(two) < 2 or sum(two) > room
-            if not single:
-                three = lengths.shortest(3, w)
-                if (len(three) >= 3 and sum(three) <= room) or lengths.best_pair(room, w) > x:
-                    break
-        if x == w:
-            runs.append(Run(w, lengths.take(w, 2 * many), 2, next_bin, many, 0, True))
-        else:
-            runs.append(Run(w, lengths.take(w, many), 1, next_bin, many, 0, True))
-            runs.append(Run(x, lengths.take(x, many), 1, next_bin, many, w, True))
-        next_bin += many
+    changed = True
+    while changed:
+        changed = False
+        for w in reversed(list(lengths.order)):
+            while w in lengths.n and (found := dominant(lengths, w, capacity - w)):
+                x, many = found
+                if x == w:
+                    runs.append(Run(w, lengths.take(w, 2 * many), 2, next_bin, many, 0, True))
+                else:
+                    runs.append(Run(w, lengths.take(w, many), 1, next_bin, many, 0, True))
+                    if x:
+                        runs.append(Run(x, lengths.take(x, many), 1, next_bin, many, w, True))
+                next_bin += many
+                changed = True
     return runs, next_bin
 
 

@@ -286,5 +286,5 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DISTANCE) -> DataFrame:
     """The rows, unchanged, without the documents that go."""
-    gone = duplicates(docs, id_col, text_col, most).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("bigint") == F.col("_gone"), "left_anti")
+    gone = duplicates(docs, id_col, text_col, most).select(F.col(id_col).alias("gone"))
+    return docs.join(gone, docs[id_col].cast("bigint") == gone["gone"], "left_anti")
