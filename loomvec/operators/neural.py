@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pickle import loads
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,14 +63,20 @@ class MaskedLanguageHead:
         return self.decoder(layer_norm(gelu(self.dense(x)), self.norm_weight, self.norm_bias))
 
 
+def sent(spark: SparkSession, layer: Callable) -> Broadcast:
+    """A layer, of whatever kind of function, once to each executor; loads() gives it back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(layer))
+
+
 def apply_rows(df: DataFrame, vector: str, layer: Callable[[np.ndarray], np.ndarray], out: str) -> DataFrame:
     """df with the layer's result of every row's vector. The layer is sent once to each
     executor; vectors are of one length, null ones give null."""
-    held = df.sparkSession.sparkContext.broadcast(layer)
+    held = sent(df.sparkSession, layer)
     schema = df.withColumn(out, F.lit(None).cast("array<double>")).schema
     at = df.columns.index(vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_layer = loads(held.value)
         for batch in batches:
             column = batch.column(at)
             valid = column.is_valid().to_numpy(zero_copy_only=False)
@@ -76,7 +84,7 @@ def apply_rows(df: DataFrame, vector: str, layer: Callable[[np.ndarray], np.ndar
             if valid.any():
                 own = column.filter(pa.array(valid))
                 rows = own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-                for i, row in zip(np.flatnonzero(valid), held.value(rows)):
+                for i, row in zip(np.flatnonzero(valid), own_layer(rows)):
                     result[i] = row
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(result, pa.list_(pa.float64()))], names=schema.names)
 
@@ -90,11 +98,12 @@ def forecast_quantiles(series: DataFrame, values: str, config, encode: Callable[
     patches and given, as (rows, patches, patch_size), to `encode`, the caller's
     network, which answers (rows, steps * levels); its answer is scaled back. Another
     length is an error."""
-    held = series.sparkSession.sparkContext.broadcast(encode)
+    held = sent(series.sparkSession, encode)
     schema = series.withColumn(out, F.lit(None).cast("array<array<double>>")).schema
     at, levels = series.columns.index(values), len(config.quantiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = loads(held.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -103,7 +112,7 @@ def forecast_quantiles(series: DataFrame, values: str, config, encode: Callable[
                 raise ValueError(f"series have {config.context_length} values")
             x = np.array(rows, dtype=np.float64)
             scale = np.abs(x).mean(1, keepdims=True) + 1e-10
-            answer = held.value((x / scale).reshape(len(x), -1, config.patch_size)) * scale
+            answer = network((x / scale).reshape(len(x), -1, config.patch_size)) * scale
             nested = answer.reshape(len(x), config.prediction_length, levels).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nested, pa.list_(pa.list_(pa.float64())))], names=schema.names)
 

@@ -115,9 +115,9 @@ def _emit(q_id: np.ndarray, ids: np.ndarray, scores: np.ndarray, names: list[str
 
 def _blocked(queries, corpus, size, k, metric, vector, query, doc, exclude_same):
     blocks = -(-size // (BROADCAST_BYTES // 16))
-    parts = queries.withColumn("block", F.pmod(F.xxhash64(query), F.lit(blocks)))
-    shards = corpus.withColumn("shard", F.pmod(F.xxhash64(doc), F.lit(blocks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
-    parts = parts.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    parts = queries.withColumn("block", F.pmod(F.xxhash64(query), F.lit(blocks))).withColumn("shard", every)
+    shards = corpus.withColumn("shard", F.pmod(F.xxhash64(doc), F.lit(blocks))).withColumn("block", every)
 
     def run(q: pa.Table, d: pa.Table) -> pa.Table:
         if not q.num_rows or not d.num_rows:
