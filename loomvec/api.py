@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomvec.encoder import Encoder, HashEncoder
-from loomvec.errors import ConfigError, QuantizationError, UnsupportedDimension
+from loomvec.errors import ConfigError, DeviceError, QuantizationError, UnsupportedDimension
 from loomvec.functions import quantization, sequences, vectors
 from loomvec.functions.series import ForecastConfig, median_forecast
 from loomvec.operators import late, neural
@@ -46,6 +46,18 @@ class Builder:
     def encoder(self, encoder: Encoder) -> Builder:
         return replace(self, chosen_encoder=encoder)
 
+    def device(self, name: str) -> Builder:
+        """Executors compute on processors; another device is an error."""
+        if name.lower() != "cpu":
+            raise DeviceError(f"Device error: {name!r} isn't available; encoders run on the executors' processors")
+        return self
+
+    def yield_ms(self, pause: int) -> Builder:
+        """Accepted for callers that set it; Spark schedules the batches and no pause is made."""
+        if pause < 0:
+            raise ConfigError("yield_ms isn't negative")
+        return self
+
     def batch_size(self, rows: int) -> Builder:
         """Rows of an Arrow batch; takes effect on the session that encodes."""
         return replace(self, rows_per_batch=rows)
@@ -182,6 +194,11 @@ class VisionEmbedder(Embedder):
     def search(self, query: Column | str, document: Column | str) -> Column:
         return late.maxsim(query, document)
 
+    search_document = search
+
+    def embedding_dim(self) -> int:
+        return self.dimension()
+
 
 class TimeSeriesEmbedder(Embedder):
     MODEL_TYPES = ("Timeseries",)

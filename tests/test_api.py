@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomvec import api
 from loomvec.encoder import HashEncoder
-from loomvec.errors import ConfigError, ModelLoadError, ModelNotFound, QuantizationError, SourceError, UnsupportedDimension
+from loomvec.errors import ConfigError, DeviceError, ModelLoadError, ModelNotFound, QuantizationError, SourceError, UnsupportedDimension
 from loomvec.sources import files, registry, series
 from loomvec.streaming.windows import windowed
 
@@ -98,6 +98,9 @@ def test_builder_errors():
             api.MultiVectorEmbedder.builder().model("colbert-v2").quantization(kind).build()
     with pytest.raises(ConfigError):
         api.embedder("bge-m3-multi")
+    with pytest.raises(DeviceError):
+        api.DenseEmbedder.builder().device("cuda")
+    assert api.DenseEmbedder.builder().device("cpu").yield_ms(5).model("bge-base-en-v1.5").build().dimension() == 768
     assert type(api.embedder("colbert-v2")) is api.MultiVectorEmbedder and type(api.embedder("splade-v3")) is api.SparseEmbedder
     assert issubclass(UnsupportedDimension, ValueError) and issubclass(ModelNotFound, RuntimeError) and issubclass(SourceError, OSError)
 
