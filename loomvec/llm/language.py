@@ -25,15 +25,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvec.llm.textarrays import Words, slices
+from loomvec.llm.textarrays import Words, text_slices
 
 BUCKETS = 1 << 16
 #: Pseudo-count that spreads mass over trigrams a language hasn't shown, log-odds that a switch costs, and
 #: what "und" gets per letter beside a flat distribution.
 PRIOR, SWITCH, UND_BONUS = 0.5, 8.0, -1.0
+#: Characters labelled at once, many, as each place in a text is one step for all texts; changes no result.
+LABELLED = 2_000_000
 
 #: Ranges of letters and the languages written with them; "*" stands for all trained languages.
 SCRIPTS: list[tuple[int, int, tuple[str, ...]]] = [
@@ -70,12 +73,11 @@ def trigram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang in set(langs):
-                own = [t for t, x in zip(texts, langs) if x == lang]
-                n = seen.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                for a, b in slices(own):
-                    n += np.bincount(trigram_buckets(Words(own[a:b])), minlength=BUCKETS)
+            for lang in pc.unique(batch.column(1)):
+                own = batch.column(0).filter(pc.equal(batch.column(1), lang))
+                n = seen.setdefault(lang.as_py(), np.zeros(BUCKETS, dtype=np.int64))
+                for _, _, texts in text_slices(own):
+                    n += np.bincount(trigram_buckets(Words(texts)), minlength=BUCKETS)
         for lang, n in seen.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": at.astype(np.int32), "n": n[at]})
@@ -194,9 +196,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *label_slice(sent.value, texts[a:b])], names=names)
+            for a, b, texts in text_slices(batch.column(1), LABELLED):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *label_slice(sent.value, texts)], names=names)
 
     return chosen.mapInArrow(run, f"`{id_col}` {dict(chosen.dtypes)['id']}, lang string, share double, spans {SPANS}")
 
@@ -210,9 +211,8 @@ def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text", leas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         und = len(sent.value.languages)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts):
-                words = Words(texts[a:b])
+            for a, b, texts in text_slices(batch.column(at), LABELLED):
+                words = Words(texts)
                 path = viterbi(sent.value.scores(words), words.text_words)
                 letters = (words.char_to - words.char_from).astype(np.float64)
                 of = np.repeat(np.arange(b - a), np.diff(words.text_words))

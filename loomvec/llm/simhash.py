@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomvec.llm.textarrays import Words, mixed, slices
+from loomvec.llm.textarrays import Words, mixed, text_slices
 from loomvec.session import stored
 
 SEGMENT, PAIRS, BITS = 23, 4, 184
@@ -123,9 +123,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                prints = fingerprint_slice(texts[a:b])
+            for a, b, texts in text_slices(batch.column(1)):
+                prints = fingerprint_slice(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(prints[:, i]) for i in range(PAIRS))], names=["id", *PRINT])
 
     return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, " + ", ".join(f"{p} bigint" for p in PRINT))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvec.llm.textarrays import Words, mixed, slices, word_hashes
+from loomvec.llm.textarrays import Words, mixed, text_slices, word_hashes
 from loomvec.session import stored
 
 #: Labelled documents that are learned from at most, chosen by a hash of their ids.
@@ -73,10 +73,9 @@ def feature_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes = batch.column(1).to_pylist()
-            texts = batch.column(0).to_pylist()
-            for i, j in slices(texts):
-                found = Words(texts[i:j])
+            classes = batch.column(1).to_numpy()
+            for i, j, texts in text_slices(batch.column(0)):
+                found = Words(texts)
                 if not len(found):
                     continue
                 lowered, h = found.lowered(), found.hashes()
@@ -87,7 +86,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
                 right[:-1][of[1:] != of[:-1]] = 0
                 words = [lowered[a:b] for a, b in zip(found.char_from.tolist(), found.char_to.tolist())]
                 contexts = mixed(left * np.uint64(31) + right).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.array(classes[i:j], dtype=np.int32)[of]), pa.array(contexts)], names=["feature", "toxic", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(classes[i:j][of]), pa.array(contexts)], names=["feature", "toxic", "context"])
 
     once = rows.mapInArrow(run, COUNTED).distinct()
     by_word = once.groupBy("feature", "toxic").agg(F.count("*").alias("n"))
@@ -234,9 +233,8 @@ def find(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                found = scan_slice(sent.value, texts[a:b])
+            for a, _, texts in text_slices(batch.column(1)):
+                found = scan_slice(sent.value, texts)
                 at = [i for i, (p, _) in enumerate(found) if p <= least_p]
                 rows = [[dict(zip(keys, x)) for x in found[i][1]] for i in at]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + i for i in at], pa.int64())), pa.array([found[i][0] for i in at], pa.float64()), pa.array(rows, kind)], names=[id_col, "p_value", "segments"])
@@ -251,9 +249,8 @@ def clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", least_p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts):
-                keep = [p > least_p for p, _ in scan_slice(sent.value, texts[a:b])]
+            for a, b, texts in text_slices(batch.column(at)):
+                keep = [p > least_p for p, _ in scan_slice(sent.value, texts)]
                 yield batch.slice(a, b - a).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
