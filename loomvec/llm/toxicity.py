@@ -89,7 +89,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(classes[i:j][of]), pa.array(contexts)], names=["feature", "toxic", "context"])
 
     once = rows.mapInArrow(run, COUNTED).distinct()
-    by_word = once.groupBy("feature", "toxic").agg(F.count("*").alias("n"))
+    by_word = stored(once.groupBy("feature", "toxic").agg(F.count("*").alias("n")), "toxicity-words")
     prefix = by_word.where(f"length(feature) >= {PREFIX}").groupBy(F.concat(F.lit("p"), F.substring("feature", 1, PREFIX)).alias("feature"), "toxic").agg(F.sum("n").alias("n"))
     total = by_word.groupBy(F.lit("n").alias("feature"), "toxic").agg(F.sum("n").alias("n"))
     return by_word.select(F.concat(F.lit("w"), "feature").alias("feature"), "toxic", "n").unionByName(prefix).unionByName(total)
