@@ -8,7 +8,10 @@ one to six of them. Segments go in pairs; a document gets a key for each
 combination of its two lists. By the pigeonhole principle two fingerprints that
 differ in at most 11 bits have a pair with at most 2 errors, hence a common key;
 with more errors, up to MAX_DISTANCE, they nearly always have. What shares a key is
-verified on all 184 bits.
+verified on all 184 bits and, where more than SURE of them differ, on a sketch of the
+texts' word triples: long texts of one language have many words in common without
+being copies, but not their order. The sketch has the smallest hash of the triples in each of
+16 slots, a byte each.
 
 Documents with equal fingerprints are one before keys are made. Within a key the
 verified pairs of a large group are replaced by a forest that connects the same
@@ -39,7 +42,9 @@ from loomvec.session import stored
 
 SEGMENT, PAIRS, BITS = 23, 4, 184
 #: Bits in which the fingerprints of near copies differ at most, of 184.
-MAX_DISTANCE = 30
+MAX_DISTANCE = 36
+#: Bits up to which that alone decides, and the share of slots that must agree beyond.
+SURE, AGREE = 11, 0.3
 RADIUS = 4
 GENERATOR = 0xC75
 #: Members of a key beyond which a forest takes the place of all pairs, and pairs verified at once; neither changes the groups.
@@ -47,6 +52,8 @@ FOREST, BLOCK = 48, 1 << 21
 #: Rows of one routing key aimed at; it changes no result.
 ROWS_PER_KEY = 20_000
 PRINT = [f"p{i}" for i in range(PAIRS)]
+SKETCH = ["s0", "s1"]
+SLOTS = 16
 
 
 # --- the code --------------------------------------------------------------
@@ -95,11 +102,25 @@ def nearby(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- fingerprints ----------------------------------------------------------
 
 
+def sketches(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Texts by 2: a byte for each slot, 0 where no triple falls into it. h and of: the words'
+    hashes and texts. A text of one or two words counts by words."""
+    triple = np.flatnonzero(of[2:] == of[:-2])
+    few = np.flatnonzero(np.bincount(of, minlength=n)[of] < 3)
+    s = mixed(np.concatenate([h[triple] * np.uint64(0x9E3779B97F4A7C15) + h[triple + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[triple + 2] * np.uint64(0x165667B19E3779F9), h[few]]))
+    least = np.full(n * SLOTS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(least, np.concatenate([of[triple], of[few]]) * SLOTS + (s >> np.uint64(60)).astype(np.int64), s & np.uint64((1 << 60) - 1))
+    slots = np.where(least == np.iinfo(np.uint64).max, 0, 1 + mixed(least) % np.uint64(255)).astype(np.uint8)
+    return slots.reshape(n, SLOTS).view(np.int64)
+
+
 def fingerprint_slice(texts: list[str | None]) -> np.ndarray:
-    """Texts by PAIRS: 46 bits each."""
+    """Texts by PAIRS, 46 bits each, and their sketches in two further columns."""
     found = Words(texts)
+    words = found.hashes()
     of = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(found.text_words))
-    distinct = np.unique((of << np.uint64(40)) | (found.hashes() >> np.uint64(24)))
+    sketch = sketches(words, of.astype(np.int64), len(texts))
+    distinct = np.unique((of << np.uint64(40)) | (words >> np.uint64(24)))
     bare = np.flatnonzero(np.diff(found.text_words) == 0)
     if len(bare):
         own = np.array([xxhash.xxh64_intdigest((texts[i] or "").encode("utf-8", "surrogatepass")) >> 24 for i in bare], dtype=np.uint64)
@@ -114,27 +135,35 @@ def fingerprint_slice(texts: list[str | None]) -> np.ndarray:
         bits = np.unpackbits(mixed(h ^ np.uint64((0x9E3779B97F4A7C15 * (pair + 1)) & (1 << 64) - 1)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6], axis=1)[:, :46]
         ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
         out[:, pair] = (2 * ones > n[:, None]) @ weights
-    return out
+    return np.concatenate([out, sketch], axis=1)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the four 46-bit parts p0 to p3."""
+    """id, the four 46-bit parts p0 to p3 and the sketch."""
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and length(text) > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_slices(batch.column(1)):
                 prints = fingerprint_slice(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(prints[:, i]) for i in range(PAIRS))], names=["id", *PRINT])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, prints.T)], names=["id", *PRINT, *SKETCH])
 
-    return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, " + ", ".join(f"{p} bigint" for p in PRINT))
+    return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, " + ", ".join(f"{p} bigint" for p in [*PRINT, *SKETCH]))
 
 
 # --- search ----------------------------------------------------------------
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+def alike(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Which rows of a are near copies of those of b, or of b itself where it is one row."""
+    d = np.bitwise_count(a[:, :PAIRS] ^ b[..., :PAIRS]).sum(-1, dtype=np.int64)
+    near = d <= most
+    at = np.flatnonzero(near & (d > SURE))
+    if len(at):
+        x = np.ascontiguousarray(a[at, PAIRS:]).view(np.uint8)
+        y = np.ascontiguousarray(b[at, PAIRS:] if b.ndim > 1 else b[None, PAIRS:]).view(np.uint8)
+        near[at] = ((x == y) & (x > 0)).sum(1) >= AGREE * ((x | y) > 0).sum(1)
+    return near
 
 
 def group_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -154,7 +183,7 @@ def group_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndar
 
 
 def forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges that connect what a chain of distances of at most `most` connects: each
+    """Edges that connect what a chain of near copies connects: each
     member reached is compared with those not yet reached."""
     left = np.arange(len(prints))
     edges: list[tuple[int, int]] = []
@@ -162,7 +191,7 @@ def forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = distance(prints[left], prints[at]) <= most
+            near = alike(prints[left], prints[at], most)
             reached = left[near]
             edges += [(at, int(x)) for x in reached]
             queue += reached.tolist()
@@ -180,7 +209,7 @@ def bucket_edges(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: in
     few = (size > 1) & (size <= FOREST)
     for a, b in group_pairs(start[few], size[few]):
         x, y = order[a], order[b]
-        near = distance(prints[x], prints[y]) <= most
+        near = alike(prints[x], prints[y], most)
         found.append(np.stack([ids[x[near]], ids[y[near]]], 1))
     for s, m in zip(start[size > FOREST], size[size > FOREST]):
         own = order[s : s + m]
@@ -216,11 +245,11 @@ def near_pairs(prints: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
     """a, b: edges between ids of different fingerprints, enough to connect each group."""
     rows = prints.count()
     bits = max(0, min(12, math.ceil(math.log2(max(1, rows * 5.4 / 4096 / ROWS_PER_KEY)))))
-    names = ["route", "pair", "a_index", "id", *PRINT]
+    carried = [*PRINT, *SKETCH]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(1 + PAIRS)]
+            columns = [c.to_numpy() for c in batch.columns]
             for pair in range(PAIRS):
                 p = columns[1 + pair]
                 of, index = nearby(p >> 23)
@@ -231,7 +260,7 @@ def near_pairs(prints: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
                 else:
                     top = np.zeros(len(of), dtype=np.int64)
                 route = (top << 14 | index << 2 | pair).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(route), *(pa.array(c[of]) for c in columns)], names=["route", "id", *PRINT])
+                yield pa.RecordBatch.from_arrays([pa.array(route), *(pa.array(c[of]) for c in columns)], names=["route", "id", *carried])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -239,7 +268,7 @@ def near_pairs(prints: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
             return
         table = pa.Table.from_batches(held)
         routes, ids = table["route"].to_numpy().astype(np.int64), table["id"].to_numpy()
-        prints = np.stack([table[p].to_numpy() for p in PRINT], 1)
+        prints = np.stack([table[p].to_numpy() for p in carried], 1)
         del held, table
         pair = routes & 3
         second = prints[np.arange(len(ids)), pair] & 0x7FFFFF
@@ -251,8 +280,8 @@ def near_pairs(prints: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
         if len(edges):
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
-    fields = ", ".join(f"{p} bigint" for p in PRINT)
-    routed = prints.select("id", *PRINT).mapInArrow(route, f"route int, id bigint, {fields}").repartition("route")
+    fields = ", ".join(f"{p} bigint" for p in carried)
+    routed = prints.select("id", *carried).mapInArrow(route, f"route int, id bigint, {fields}").repartition("route")
     return routed.mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
@@ -276,10 +305,11 @@ def components(edges: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DISTANCE) -> DataFrame:
     """id_col, duplicate_of: the documents that go, each with the one of its group that stays."""
     prints = stored(fingerprints(docs.withColumn(id_col, F.col(id_col).cast("bigint")), id_col, text_col), "prints")
-    distinct = stored(prints.groupBy(*PRINT).agg(F.min("id").alias("id")), "distinct")
+    first = prints.groupBy(*PRINT).agg(F.min(F.struct("id", *SKETCH)).alias("first"))
+    distinct = stored(first.select(*PRINT, "first.*"), "distinct")
     roots = components(near_pairs(distinct, most))
     named = distinct.join(roots, "id", "left").select(*PRINT, F.coalesce("root", "id").alias("root"))
-    all_rows = prints.join(named, PRINT).where("id <> root")
+    all_rows = prints.select("id", *PRINT).join(named, PRINT).where("id <> root")
     return all_rows.select(F.col("id").alias(id_col), F.col("root").alias("duplicate_of")).distinct()
 
 

@@ -33,10 +33,8 @@ def test_two_errors_share_a_codeword(word, i, j):
 
 
 def brute_pairs(prints, most):
-    ids, p = np.array([r[0] for r in prints]), np.array([r[1:] for r in prints], dtype=np.int64)
-    d = np.bitwise_count(p[:, None, :] ^ p[None, :, :]).sum(2)
-    a, b = np.nonzero(np.triu(d <= most, 1))
-    return ids, [(int(ids[x]), int(ids[y])) for x, y in zip(a, b)]
+    ids, p = [r[0] for r in prints], np.array([r[1:] for r in prints], dtype=np.int64)
+    return ids, [(ids[x], ids[y + x + 1]) for x in range(len(ids)) for y in np.flatnonzero(simhash.alike(p[x + 1 :], p[x], most))]
 
 
 def groups(pairs):
@@ -55,7 +53,7 @@ def groups(pairs):
 
 def test_groups_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    prints = [(r.id, r.p0, r.p1, r.p2, r.p3) for r in simhash.fingerprints(docs).collect()]
+    prints = [tuple(r) for r in simhash.fingerprints(docs).collect()]
     _, pairs = brute_pairs(prints, simhash.MAX_DISTANCE)
     expected = groups(pairs)
     found = {r.doc_id: r.duplicate_of for r in simhash.duplicates(docs).collect()}
@@ -94,6 +92,18 @@ def test_a_forest_connects_what_all_pairs_connect():
     assert groups(edges) == groups(pairs)
 
 
+def test_shared_words_are_no_copy():
+    """The same words in another order are told apart by the sketch; an edited copy isn't."""
+    rng = np.random.default_rng(8)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(300)]
+    edited = [w if i % 12 else w[::-1] for i, w in enumerate(words)]
+    mixed = [words[i] if i % 12 else words[i][::-1] for i in rng.permutation(300)]
+    p = simhash.fingerprint_slice([" ".join(x) for x in (words, edited, mixed)])
+    d = [int(np.bitwise_count(p[0, :4] ^ p[i, :4]).sum()) for i in (1, 2)]
+    assert d[0] == d[1] and simhash.SURE < d[0] <= simhash.MAX_DISTANCE
+    assert simhash.alike(p[1:], p[0], simhash.MAX_DISTANCE).tolist() == [True, False]
+
+
 def test_defined_results(odd_docs, no_docs):
     assert {(r.doc_id, r.duplicate_of) for r in simhash.duplicates(odd_docs).collect()} == {(2, 1)}
     kept = simhash.keep_one(odd_docs)
