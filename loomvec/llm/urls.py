@@ -124,7 +124,7 @@ def counts(urls: DataFrame, url_col: str, seeds: tuple[str, ...]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 2 * BUCKETS), dtype=np.int64)  # contexts, then contexts with a byte
-        links: list[set[int]] = [set(), set()]
+        links = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
         for batch in batches:
             flags = np.array(batch.column(1).to_pylist(), dtype=bool)
             texts = batch.column(0).to_pylist()
@@ -133,10 +133,10 @@ def counts(urls: DataFrame, url_col: str, seeds: tuple[str, ...]) -> DataFrame:
                 if own:
                     context, gram, _ = contexts(own)
                     seen[c] += np.bincount(np.concatenate([context.ravel(), gram.ravel() + np.uint64(BUCKETS)]).astype(np.int64), minlength=2 * BUCKETS)
-                    links[c].update(np.unique(context.ravel() << np.uint64(BITS) | gram.ravel()).tolist())
+                    links[c] = np.union1d(links[c], context.ravel() << np.uint64(BITS) | gram.ravel())
         for c in (0, 1):
             at = np.flatnonzero(seen[c])
-            pairs = np.array(sorted(links[c]), dtype=np.int64)
+            pairs = links[c].astype(np.int64)
             yield pa.RecordBatch.from_pydict({"bad": np.repeat(c == 0, len(at) + len(pairs)), "bucket": np.concatenate([at, pairs]), "n": np.concatenate([seen[c][at], np.zeros(len(pairs), np.int64)])})
 
     return labelled.mapInArrow(run, COUNTED).groupBy("bad", "bucket", (F.col("n") == 0).alias("link")).agg(F.sum("n").alias("n"))
