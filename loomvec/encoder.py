@@ -2,11 +2,12 @@
 
 An Encoder is anything with `transform(df, in_col, out_col)`. HashEncoder needs no
 weights: each word's value in each dimension is a hash scaled to [-1, 1). Its
-vectors are deterministic, computed in the JVM, and carry no meaning beyond words in common.
+vectors are deterministic and carry no meaning beyond words in common.
 OnnxEncoder runs a network that the user brings."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomvec.functions.vectors import col, l2_normalize
+from loomvec.functions.vectors import col
 
 KINDS = ("dense", "multi", "sparse", "patch", "forecast")
 
@@ -59,10 +60,38 @@ class HashEncoder:
             distinct = F.array_sort(F.array_distinct(places))
             weight = lambda i: F.log1p(F.size(F.filter(places, lambda p: p == i)).cast("double"))
             return df.withColumn(out_col, F.transform(distinct, lambda i: F.struct(i.alias("index"), weight(i).alias("weight"))))
-        distinct = F.array_distinct(found)
-        n = F.greatest(F.size(distinct), F.lit(1))
-        total = lambda d: F.aggregate(distinct, F.lit(0.0), lambda s, w: s + hash_value(w, d))
-        return df.withColumn(out_col, l2_normalize(F.array(*(total(d) / n for d in range(self.dimension)))))
+        listed = f"_{out_col}_words"
+        schema = df.drop(out_col).withColumn(out_col, F.lit(None).cast("array<double>")).schema
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, np.ndarray] = {}
+            for batch in batches:
+                lists = batch.column(batch.num_columns - 1)
+                vectors = mean_vectors(lists, self.dimension, known)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=schema.names)
+
+        return df.withColumn(listed, F.array_distinct(found)).drop(out_col).mapInArrow(run, schema)
+
+
+def mean_vectors(lists: pa.ListArray, dimension: int, known: dict[str, np.ndarray]) -> pa.Array:
+    """The unit mean of each list's words, zeros without words. Every word is hashed
+    once as long as `known` has room."""
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = lists.flatten().dictionary_encode()
+    own = found.dictionary.to_pylist()
+    if len(known) > 1_000_000:
+        known.clear()
+    for w in own:
+        if w not in known:
+            known[w] = np.array([int(hashlib.md5(f"{w}:{d}".encode()).hexdigest()[:8], 16) / 2147483648.0 - 1.0 for d in range(dimension)])
+    table = np.stack([known[w] for w in own]) if own else np.zeros((0, dimension))
+    sums = np.zeros((len(n), dimension))
+    np.add.at(sums, np.repeat(np.arange(len(n)), n), table[found.indices.to_numpy(zero_copy_only=False)])
+    means = sums / np.maximum(n, 1)[:, None]
+    norm = np.sqrt((means * means).sum(1, keepdims=True))
+    unit = np.where(norm > 0, means / np.where(norm > 0, norm, 1), means)
+    offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * dimension)
+    return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()), mask=lists.is_null())
 
 
 @dataclass(frozen=True)
