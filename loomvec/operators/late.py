@@ -35,9 +35,9 @@ def maxsim_long(scores: DataFrame, query: str = "qid", doc: str = "did", token:
     return best.groupBy(query, doc).agg(F.sum("best").alias(score))
 
 
-def maxsim_knn(queries: DataFrame, corpus: DataFrame, k: int, binary: bool = False, query: str = "qid", doc: str = "did", q_tokens: str = "q", d_tokens: str = "d") -> DataFrame:
-    """query, doc, score, rank: the k best documents of every query by maxsim, or by its
-    quantised form on sign bits.
+def maxsim_knn(queries: DataFrame, corpus: DataFrame, k: int, binary: bool = False, pair: bool = False, exclude_same: bool = False, query: str = "qid", doc: str = "did", q_tokens: str = "q", d_tokens: str = "d") -> DataFrame:
+    """query, doc, score, rank: the k best documents of every query by maxsim, by its
+    quantised form on sign bits (binary), or by maxpair_cosine (pair).
 
     The queries' tokens go out in blocks of at most BLOCK_BYTES, a row each, joined with every
     partition of the corpus; products are matrix products over a batch, and each
@@ -54,38 +54,47 @@ def maxsim_knn(queries: DataFrame, corpus: DataFrame, k: int, binary: bool = Fal
     for b in range(blocks):
         table = parts.where(F.col("block") == b).select(query, "q").toArrow().combine_chunks()
         if table.num_rows:
-            held = queries.sparkSession.sparkContext.broadcast((table[query].to_numpy(), *_tokens(table["q"].combine_chunks(), binary)))
-            own = corpus.mapInArrow(_scorer(held, k, binary, [query, doc, "score"]), schema)
+            held = queries.sparkSession.sparkContext.broadcast((table[query].to_numpy(), *_tokens(table["q"].combine_chunks(), binary, pair)))
+            own = corpus.mapInArrow(_scorer(held, k, binary, pair, exclude_same, [query, doc, "score"]), schema)
             found = own if found is None else found.unionAll(own)
     return top_k(found, k, query, doc)
 
 
-def _tokens(column: pa.Array, binary: bool) -> tuple[np.ndarray, np.ndarray]:
-    """All token vectors and where each list's begin."""
+def _tokens(column: pa.Array, binary: bool, unit: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All token vectors, as signs or of unit length, and where each list's begin."""
     sizes = column.value_lengths().to_numpy()
     inner = column.flatten()
     width = set(inner.value_lengths().to_pylist())
     if len(width) != 1:
         raise DimensionMismatch(min(width), max(width))
     rows = inner.flatten().to_numpy(zero_copy_only=False).reshape(len(inner), -1)
+    if unit:
+        norm = np.sqrt((rows * rows).sum(1, keepdims=True))
+        rows = rows / np.where(norm > 0, norm, 1)
     return (np.where(rows >= 0, 1.0, -1.0) if binary else rows), np.cumsum(sizes) - sizes
 
 
-def _scorer(held, k: int, binary: bool, names: list[str]):
+def _scorer(held, k: int, binary: bool, pair: bool, exclude_same: bool, names: list[str]):
+    fold = np.maximum if pair else np.add
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_id, q, q_at = held.value
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                d, d_at = _tokens(part.column(1), binary)
+                d, d_at = _tokens(part.column(1), binary, pair)
                 if d.shape[1] != q.shape[1]:
                     raise DimensionMismatch(q.shape[1], d.shape[1])
                 products = q @ d.T
                 if binary:
                     products = (products + q.shape[1]) / 2
-                scores = np.add.reduceat(np.maximum.reduceat(products, d_at, axis=1), q_at, axis=0)
+                scores = fold.reduceat(np.maximum.reduceat(products, d_at, axis=1), q_at, axis=0)
                 ids = np.broadcast_to(part.column(0).to_numpy(), scores.shape)
+                if exclude_same:
+                    scores[q_id[:, None] == ids] = -np.inf
                 order = np.lexsort((ids, -scores), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, order.shape[1])), pa.array(np.take_along_axis(ids, order, 1).ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=names)
+                ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+                keep = scores > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, keep.sum(1))), pa.array(ids[keep]), pa.array(scores[keep])], names=names)
 
     return run

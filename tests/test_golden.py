@@ -97,6 +97,11 @@ def test_late_interaction(one, spark):
         best = sorted((-sum(max(np.dot(a, b) for b in e) for a in t), j) for j, e in docs[:25])[:3]
         assert [found[i, r] for r in (1, 2, 3)] == [(j, -s) for s, j in best]
     assert len(found) == 75
+    pairs = late.maxsim_knn(df.selectExpr("did as qid", "d as q"), df, 3, pair=True, exclude_same=True).collect()
+    cosine = lambda a, b: 0.0 if not (n := np.linalg.norm(a) * np.linalg.norm(b)) else np.dot(a, b) / n
+    for r in pairs:
+        assert r.qid != r.did and r.score == pytest.approx(max(cosine(a, b) for a in docs[r.qid][1] for b in docs[r.did][1]))
+    assert len(pairs) == 75
 
 
 def test_quantization(one, spark):
