@@ -4,10 +4,10 @@ A document's fingerprint has 8 segments of 23 bits, each bit the majority over
 its distinct words. The binary Golay code is perfect: every 23-bit word is within
 3 bits of one codeword, and words at most 2 bits apart share a codeword within 4
 bits of both. So each segment is decoded to the indices, 12 bits each, of all codewords within 4 bits,
-one to six of them. Segments go in pairs; a document gets a key for each
+one to six of them. Each of the 28 pairs of segments makes keys; a document gets one for each
 combination of its two lists. By the pigeonhole principle two fingerprints that
-differ in at most 11 bits have a pair with at most 2 errors, hence a common key;
-with more errors, up to MAX_DISTANCE, they nearly always have. What shares a key is
+differ in at most 20 bits have two segments with at most 2 errors each, hence a common key;
+with more errors spread at random, up to MAX_DISTANCE, at least nine in ten have. What shares a key is
 verified on all 184 bits and, where more than SURE of them differ, on a sketch of the
 texts' word triples: long texts of one language have many words in common without
 being copies, but not their order. The sketch has the smallest hash of the triples in each of
@@ -17,8 +17,9 @@ Documents with equal fingerprints are one before keys are made. Within a key the
 verified pairs of a large group are replaced by a forest that connects the same
 documents, found by search from one member after another; groups are the connected components.
 
-Rows travel by the first segment's indices (and some bits of the second's where
-the table is large), the other segment is expanded where they arrive.
+Rows travel by the first segment's indices, once for all pairs it is the first of; the
+other segments are expanded where they arrive. Where the table is large they travel for each pair
+by some bits of the second's as well.
 
 Defined results: null ids and null or empty texts are no duplicates of anything;
 a text without letters is a duplicate of equal texts alone. Rows that share an id are
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from loomvec.llm.textarrays import Words, mixed, text_slices
 from loomvec.session import stored
 
-SEGMENT, PAIRS, BITS = 23, 4, 184
+SEGMENT, SEGMENTS, PAIRS, BITS = 23, 8, 4, 184
 #: Bits in which the fingerprints of near copies differ at most, of 184.
 MAX_DISTANCE = 36
 #: Bits up to which that alone decides, and the share of slots that must agree beyond.
@@ -241,25 +242,40 @@ def local_forest(pairs: np.ndarray) -> np.ndarray:
     return np.stack([nodes[label[other]], nodes[other]], 1)
 
 
+def segment(parts: list[np.ndarray] | np.ndarray, i: int) -> np.ndarray:
+    """The i-th segment, two of which are in each of the parts."""
+    return parts[i >> 1] & ((1 << SEGMENT) - 1) if i & 1 else parts[i >> 1] >> SEGMENT
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Places, in order, of the keys that occur more than once."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    more = np.zeros(len(keys), dtype=bool)
+    more[order[1:][same]] = more[order[:-1][same]] = True
+    return np.flatnonzero(more)
+
+
 def near_pairs(prints: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
     """a, b: edges between ids of different fingerprints, enough to connect each group."""
     rows = prints.count()
     bits = max(0, min(12, math.ceil(math.log2(max(1, rows * 5.4 / 4096 / ROWS_PER_KEY)))))
     carried = [*PRINT, *SKETCH]
+    pairs = [(i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
+    legs = [(i, [j]) for i, j in pairs] if bits else [(i, list(range(i + 1, SEGMENTS))) for i in range(SEGMENTS - 1)]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
-            for pair in range(PAIRS):
-                p = columns[1 + pair]
-                of, index = nearby(p >> 23)
+            for leg, (i, others) in enumerate(legs):
+                of, index = nearby(segment(columns[1:], i))
                 if bits:
-                    of_b, b_index = nearby(p[of] & 0x7FFFFF)
+                    of_b, b_index = nearby(segment(columns[1:], others[0])[of])
                     both = np.unique(np.stack([of_b, b_index >> (12 - bits)], 1), axis=0)
                     of, index, top = of[both[:, 0]], index[both[:, 0]], both[:, 1]
                 else:
                     top = np.zeros(len(of), dtype=np.int64)
-                route = (top << 14 | index << 2 | pair).astype(np.int32)
+                route = (top << 17 | index << 5 | leg).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(route), *(pa.array(c[of]) for c in columns)], names=["route", "id", *carried])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,13 +286,19 @@ def near_pairs(prints: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
         routes, ids = table["route"].to_numpy().astype(np.int64), table["id"].to_numpy()
         prints = np.stack([table[p].to_numpy() for p in carried], 1)
         del held, table
-        pair = routes & 3
-        second = prints[np.arange(len(ids)), pair] & 0x7FFFFF
-        of, b_index = nearby(second)
-        if bits:
-            own = b_index >> (12 - bits) == routes[of] >> 14
-            of, b_index = of[own], b_index[own]
-        edges = local_forest(bucket_edges(routes[of] << 12 | b_index, ids[of], prints[of], most))
+        found = []
+        for leg in np.unique(routes & 31):
+            own = np.flatnonzero(routes & 31 == leg)
+            for j in legs[leg][1]:
+                of, b_index = nearby(segment(prints.T, j)[own])
+                of = own[of]
+                if bits:
+                    here = b_index >> (12 - bits) == routes[of] >> 17
+                    of, b_index = of[here], b_index[here]
+                keys = routes[of] << 12 | b_index
+                shared = repeated(keys)
+                found.append(bucket_edges(keys[shared], ids[of[shared]], prints[of[shared]], most))
+        edges = local_forest(np.concatenate(found))
         if len(edges):
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 

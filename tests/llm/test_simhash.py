@@ -62,6 +62,26 @@ def test_groups_equal_brute_force(spark):
     assert len(set(found) & set(expected)) >= 0.95 * len(expected)
 
 
+def test_recall_by_distance_of_groups_of_two(spark, monkeypatch):
+    """Nine in ten at each distance, all of them up to 20 bits; also where rows travel for each pair of segments."""
+    rng = np.random.default_rng(11)
+    distances, n, rows = (11, 20, 24, 28, 32, simhash.MAX_DISTANCE), 2000, []
+    for g in range(n * len(distances)):
+        bits = rng.integers(0, 2, simhash.BITS)
+        other = bits.copy()
+        other[rng.choice(simhash.BITS, distances[g // n], replace=False)] ^= 1
+        sketch = rng.integers(1, 1 << 62, 2).tolist()
+        rows += [(2 * g + i, *(int("".join(map(str, part)), 2) for part in b.reshape(simhash.PAIRS, -1)), *sketch) for i, b in enumerate((bits, other))]
+    schema = "id bigint, " + ", ".join(f"{c} bigint" for c in [*simhash.PRINT, *simhash.SKETCH])
+    prints = spark.createDataFrame(rows, schema)
+    found = {(r.a, r.b) for r in simhash.near_pairs(prints).collect()}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in found)
+    recall = [sum((2 * g, 2 * g + 1) in found for g in range(k * n, (k + 1) * n)) / n for k in range(len(distances))]
+    assert recall[:2] == [1, 1] and min(recall) >= 0.9, recall
+    monkeypatch.setattr(simhash, "ROWS_PER_KEY", 5)
+    assert {(r.a, r.b) for r in simhash.near_pairs(prints).collect()} == found
+
+
 def test_near_copies_of_all_sizes(spark):
     rng = np.random.default_rng(3)
     vocabulary = ["".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(5000)]
