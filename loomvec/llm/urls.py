@@ -9,8 +9,12 @@ calibrated on the accepted URLs, all of them: a set share of them may exceed it.
 Training labels come from seed words: a URL whose host has one is rejected, others
 are accepted. All URLs of the table count.
 
-Counts are hashed into tables of a fixed size, so the model's size is bounded
-however many URLs there are.
+Counts are exact. A byte and the ORDER bytes before it, its gram, fit one number, and decide
+what the byte adds to the score; the contexts of lower orders are parts of it. The model is a stored
+table of the grams seen. The grams of URLs to be scored meet it by the two
+bytes before the last, which all contexts of two bytes and more have in common; contexts of
+fewer bytes are counted in a table of 2**16 numbers a class, all there can be. The HEAD most frequent
+grams' ratios are sent to the tasks, URLs with others are joined with theirs.
 
 Defined results: a null or empty URL has score 0 and is accepted; without any
 rejected or any accepted URL all are accepted with score 0. Letter case is ignored.
@@ -21,24 +25,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomvec.llm.textarrays import text_slices
 from loomvec.session import stored
 
 SEEDS = ("casino", "pills", "bets", "adult", "spam", "ads-track", "porn", "viagra")
 ORDER = 5
-BITS = 20
-BUCKETS = 1 << BITS
 #: Share of the accepted URLs that may be rejected.
 FALSE_REJECTION = 0.005
 SLICE = 2_000_000  # bytes scored at once; changes no result
 START = 1  # the sign before a URL
 
-COUNTED = "bad boolean, bucket bigint, n bigint"
+#: Ratios sent to every task; changes no result.
+HEAD = 200_000
+
+COUNTED = "gram bigint, bad bigint, good bigint"
 
 
 def host(url):
@@ -46,135 +53,156 @@ def host(url):
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
 
-def contexts(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the ORDER + 1 contexts before each byte and of context with byte, rows
-    by order; and where each URL's bytes begin, with the end."""
-    raw = [u.encode("utf-8", "surrogatepass") for u in urls]
-    pad = bytes([START]) * ORDER
-    joined = np.frombuffer(b"".join(pad + r for r in raw), dtype=np.uint8).astype(np.uint64)
-    n = np.array([len(r) for r in raw], dtype=np.int64)
-    begin = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(begin[-1]) + np.repeat((np.arange(len(raw)) + 1) * ORDER, n)
-    context = np.zeros((ORDER + 1, len(at)), dtype=np.uint64)
-    gram = np.zeros_like(context)
-    h = np.zeros(len(at), dtype=np.uint64)
-    for k in range(ORDER + 1):
-        if k:
-            h = h * np.uint64(0x100000001B3) + joined[at - k] + np.uint64(1)
-        context[k] = spread(h * np.uint64(2 * ORDER + 3) + np.uint64(2 * k))
-        gram[k] = spread((h * np.uint64(0x100000001B3) + joined[at] + np.uint64(257)) * np.uint64(2 * ORDER + 3) + np.uint64(2 * k + 1))
-    return context, gram, begin
+def seeded(url_col: str, seeds: tuple[str, ...]):
+    """Whether the host of a URL column has a seed word."""
+    return reduce(lambda a, b: a | b, [host(F.col(url_col)).contains(s) for s in seeds], F.lit(False))
 
 
-def spread(h: np.ndarray) -> np.ndarray:
-    """Buckets of hashes."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return (h ^ (h >> np.uint64(33))) >> np.uint64(64 - BITS)
+def grams(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte with the ORDER bytes before it as a number, the byte last; and which URL it is of."""
+    raw = [(u or "").encode("utf-8", "surrogatepass") for u in urls]
+    pad = bytes([START]) * ORDER
+    joined = np.frombuffer(b"".join(pad + r for r in raw), dtype=np.uint8).astype(np.int64)
+    of = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    at = np.arange(len(of)) + (of + 1) * ORDER
+    gram = np.zeros(len(at), dtype=np.int64)
+    for k in range(ORDER, -1, -1):
+        gram = gram << 8 | joined[at - k]
+    return gram, of
 
 
 @dataclass(frozen=True)
 class UrlModel:
-    """By class and bucket: how often a context occurs, how often with a byte, the
-    different followers of a context; and the threshold."""
+    """total: gram, bad and good, how often each class has it; pairs: the same by class for
+    the last two bytes alone; and the threshold."""
 
-    total: np.ndarray | None = None
-    grams: np.ndarray | None = None
-    kinds: np.ndarray | None = None
+    total: DataFrame | None = None
+    pairs: np.ndarray | None = None
     threshold: float = float("inf")
 
-    def log_likelihoods(self, urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each URL under the rejected and the accepted model, per byte."""
-        context, gram, begin = contexts(urls)
-        out = []
-        for c in (0, 1):
-            p = np.full(context.shape[1], 1 / 256)
-            for k in range(ORDER + 1):
-                n, t = self.total[c][context[k]], np.maximum(self.kinds[c][context[k]], 1)
-                p = np.where(n > 0, (self.grams[c][gram[k]] + t * p) / np.maximum(n + t, 1), p)
-            sums = np.concatenate([[0.0], np.cumsum(np.log(p))])
-            n = np.diff(begin)
-            out.append((sums[begin[1:]] - sums[begin[:-1]]) / np.maximum(n, 1))
-        return out[0], out[1]
-
     def scores(self, urls: list[str | None]) -> np.ndarray:
         """Per URL the rejected model's log-likelihood less the accepted one's, per byte."""
         if self.total is None:
             return np.zeros(len(urls))
-        out = []
-        begin, size = 0, 0
-        for i, u in enumerate([*urls, None]):
-            size += len(u) if u else 0
-            if size > SLICE or i == len(urls):
-                part = [(x or "").lower() for x in urls[begin : i + 1]]
-                if part:
-                    bad, good = self.log_likelihoods(part)
-                    out.append(np.round(bad - good, 9) + 0.0)
-                begin, size = i + 1, 0
-        return np.concatenate(out) if out else np.zeros(0)
+        rows = self.total.sparkSession.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+        return np.array([r.score for r in score(rows, self).orderBy("page_id").collect()])
 
 
 def counts(urls: DataFrame, url_col: str, seeds: tuple[str, ...]) -> DataFrame:
-    """COUNTED: how often each hashed context and context with byte occurs in each
-    class; and, with n 0, every pair of a context's bucket and that with a byte."""
-    bad = F.lit(False)
-    for s in seeds:
-        bad = bad | F.col("host").contains(s)
-    labelled = urls.where(f"length(`{url_col}`) > 0").select(F.lower(url_col).alias("url"), host(F.col(url_col)).alias("host")).select("url", bad.alias("bad"))
+    """COUNTED: how often each gram occurs in each class."""
+    labelled = urls.where(f"length(`{url_col}`) > 0").select(F.lower(url_col).alias("url"), seeded(url_col, seeds).alias("bad"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 2 * BUCKETS), dtype=np.int64)  # contexts, then contexts with a byte
-        links = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
         for batch in batches:
-            flags = np.array(batch.column(1).to_pylist(), dtype=bool)
-            texts = batch.column(0).to_pylist()
-            for c in (0, 1):
-                own = [t for t, f in zip(texts, flags) if f == (c == 0)]
-                if own:
-                    context, gram, _ = contexts(own)
-                    seen[c] += np.bincount(np.concatenate([context.ravel(), gram.ravel() + np.uint64(BUCKETS)]).astype(np.int64), minlength=2 * BUCKETS)
-                    links[c] = np.union1d(links[c], context.ravel() << np.uint64(BITS) | gram.ravel())
-        for c in (0, 1):
-            at = np.flatnonzero(seen[c])
-            pairs = links[c].astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"bad": np.repeat(c == 0, len(at) + len(pairs)), "bucket": np.concatenate([at, pairs]), "n": np.concatenate([seen[c][at], np.zeros(len(pairs), np.int64)])})
-
-    return labelled.mapInArrow(run, COUNTED).groupBy("bad", "bucket", (F.col("n") == 0).alias("link")).agg(F.sum("n").alias("n"))
-
-
-def dense(rows: DataFrame, size: int) -> np.ndarray:
-    """bad, bucket, n as an array of the rejected class and one of the accepted."""
-    found = rows.toArrow()
-    out = np.zeros((2, size), dtype=np.float32)
-    out[1 - found["bad"].to_numpy().astype(np.int64), found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return out
+            flags = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b, texts in text_slices(batch.column(0), SLICE):
+                gram, of = grams(texts)
+                found, at = np.unique(gram, return_inverse=True)
+                bad = np.bincount(at[flags[a:b][of]], minlength=len(found))
+                yield pa.RecordBatch.from_pydict({"gram": found, "bad": bad, "good": np.bincount(at, minlength=len(found)) - bad})
+
+    return labelled.mapInArrow(run, COUNTED).groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of ordered keys, 0 for others."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+def log_p(asked: np.ndarray, gram: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The log-probability of each asked gram's last byte after the others, by a class's
+    counts n of grams, among them all that share two bytes before the last with one asked, and by its pairs."""
+    p = np.full(len(asked), 1 / 256)
+    last, before = asked & 255, asked >> 8 & 255
+    for k in range(ORDER + 1):
+        if k == 0:
+            seen, total, kinds = pairs.sum(0)[last], pairs.sum(), (pairs.sum(0) > 0).sum()
+        elif k == 1:
+            seen, total, kinds = pairs[before, last], pairs.sum(1)[before], (pairs > 0).sum(1)[before]
+        else:
+            part = (1 << 8 * (k + 1)) - 1
+            keys, at = np.unique(gram[n > 0] & part, return_inverse=True)
+            sums = np.bincount(at, n[n > 0], len(keys))
+            contexts, at = np.unique(keys >> 8, return_inverse=True)
+            seen = looked_up(keys, sums, asked & part)
+            total, kinds = (looked_up(contexts, x, (asked & part) >> 8) for x in (np.bincount(at, sums, len(contexts)), np.bincount(at, minlength=len(contexts))))
+        p = np.where(total > 0, (seen + kinds * p) / np.maximum(total + kinds, 1), p)
+    return np.log(p)
+
+
+def ratios(wanted: DataFrame, model: UrlModel) -> DataFrame:
+    """gram, n and ratio of wanted's gram and n: what the gram's last byte adds to a score."""
+    both = model.total.select("gram", "bad", "good", F.lit(0).cast("bigint").alias("n")).unionAll(wanted.select("gram", F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), "n"))
+    routed = both.withColumn("route", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))).repartition("route").drop("route")
+    pairs = model.pairs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        gram, bad, good, n = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        asked = gram[n > 0]
+        ratio = log_p(asked, gram, bad, pairs[0]) - log_p(asked, gram, good, pairs[1])
+        yield pa.RecordBatch.from_pydict({"gram": asked, "n": n[n > 0], "ratio": ratio})
+
+    return routed.mapInArrow(run, "gram bigint, n bigint, ratio double")
 
 
 def train(urls: DataFrame, url_col: str = "url", seeds: tuple[str, ...] = SEEDS, false_rejection: float = FALSE_REJECTION) -> UrlModel:
-    """The two models of all URLs and the calibrated threshold. The driver gets a
-    number for each of BUCKETS buckets and class."""
-    found = stored(counts(urls, url_col, seeds), "url-counts")
-    seen = dense(found.where("not link").select("bad", "bucket", "n"), 2 * BUCKETS)
-    kinds = dense(found.where("link").groupBy("bad", F.shiftright("bucket", BITS).alias("bucket")).agg(F.count("*").alias("n")), BUCKETS)
-    if not seen.any(1).all():
+    """The two models of all URLs and the calibrated threshold. The driver gets the
+    counts of pairs of bytes."""
+    total = stored(counts(urls, url_col, seeds), "url-counts")
+    pairs = np.zeros((2, 256, 256))
+    found = total.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    for c, name in enumerate(("bad", "good")):
+        pairs[c].reshape(-1)[found["pair"].to_numpy()] = found[name].to_numpy()
+    if not pairs.any((1, 2)).all():
         return UrlModel()
-    model = UrlModel(seen[:, :BUCKETS], seen[:, BUCKETS:], kinds)
-    clean = F.lit(True)
-    for s in seeds:
-        clean = clean & ~host(F.col(url_col)).contains(s)
-    accepted = score(urls.where(f"length(`{url_col}`) > 0").where(clean).select(F.lit(0).alias("id"), F.col(url_col)), model, "id", url_col)
+    model = UrlModel(total, pairs)
+    clean = urls.where(f"length(`{url_col}`) > 0").where(~seeded(url_col, seeds))
+    accepted = score(clean.select(F.lit(0).alias("id"), F.col(url_col)), model, "id", url_col)
     cut = accepted.agg(F.percentile("score", 1 - false_rejection)).first()[0]
-    return UrlModel(model.total, model.grams, kinds, float(cut) if cut is not None else float("inf"))
+    return UrlModel(total, pairs, float(cut) if cut is not None else float("inf"))
 
 
 def score(urls: DataFrame, model: UrlModel, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id_col, url, score and accepted per row."""
     chosen = urls.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    sent = urls.sparkSession.sparkContext.broadcast(model)
+    if model.total is None:
+        return chosen.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.lit(0.0).alias("score"), F.lit(True).alias("accepted"))
+    rows = stored(chosen.select(F.monotonically_increasing_id().alias("uid"), "id", "url", F.lower("url").alias("small")), "urls")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = sent.value.scores(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array(s <= max(sent.value.threshold, 0.0))], names=[id_col, url_col, "score", "accepted"])
+            for _, _, texts in text_slices(batch.column(0), SLICE):
+                found, n = np.unique(grams(texts)[0], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"gram": found, "n": n})
+
+    wanted = rows.select("small").mapInArrow(seen, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = stored(ratios(wanted, model), "url-ratios")
+    head = found.orderBy(F.desc("n"), "gram").limit(HEAD).select("gram", "ratio").toArrow().sort_by("gram")
+    sent = urls.sparkSession.sparkContext.broadcast((head["gram"].to_numpy(), head["ratio"].to_numpy()))
 
-    return chosen.mapInArrow(run, f"`{id_col}` {dict(chosen.dtypes)['id']}, `{url_col}` string, score double, accepted boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ratio = sent.value
+        for batch in batches:
+            for a, b, texts in text_slices(batch.column(3), SLICE):
+                gram, of = grams(texts)
+                here = looked_up(known, np.ones(len(known)), gram) > 0
+                total = np.bincount(of, looked_up(known, ratio, gram), b - a).astype(np.float64)  # integers where there is no gram
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of[~here], minlength=b - a))]).astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(gram[~here]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(total), pa.array(np.bincount(of, minlength=b - a)), rest], names=["uid", "id", "url", "total", "size", "rest"])
+
+    scored = rows.mapInArrow(run, f"uid bigint, id {dict(chosen.dtypes)['id']}, url string, total double, size bigint, rest array<bigint>")
+    sum_ = F.col("total")
+    if found.count() > HEAD:
+        scored = stored(scored, "url-scores")
+        more = scored.select("uid", F.explode("rest").alias("gram")).join(found.select("gram", "ratio"), "gram").groupBy("uid").agg(F.sum("ratio").alias("more"))
+        scored = scored.join(more, "uid", "left")
+        sum_ = sum_ + F.coalesce("more", F.lit(0.0))
+    value = F.round(sum_ / F.greatest("size", F.lit(1)), 9) + F.lit(0.0)
+    return scored.select(F.col("id").alias(id_col), F.col("url").alias(url_col), value.alias("score"), (value <= max(model.threshold, 0.0)).alias("accepted"))

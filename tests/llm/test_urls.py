@@ -52,6 +52,44 @@ def test_scores_equal_brute_force(pages):
     assert sum(found[r.page_id].accepted for r in rows if r.url in set(bad)) <= 0.1 * len(bad) + 1
 
 
+def test_counts_are_exact_beyond_a_million(spark, monkeypatch):
+    """Grams of all orders without those of others, by brute force over what the asked URLs have."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789"))
+    tails = ["".join(x) for x in letters[rng.integers(0, 36, (40_000, 30))]]
+    texts = [("http://casino.org/" if i % 2 else "http://fine.org/") + t for i, t in enumerate(tails)]
+    asked = texts[:40] + ["http://other.org/" + t[::-1] for t in tails[:20]]
+    mark = chr(urls.START) * urls.ORDER
+    pieces = lambda t: [(mark + t)[i - k : i + 1] for i in range(urls.ORDER, urls.ORDER + len(t)) for k in range(urls.ORDER + 1)]
+    contexts = {p[:-1] for t in asked for p in pieces(t)}
+    seen = [defaultdict(Counter), defaultdict(Counter)]
+    distinct = set()
+    for i, t in enumerate(texts):
+        for p in pieces(t):
+            distinct.add(p)
+            if p[:-1] in contexts:
+                seen[i % 2][p[:-1]][p[-1]] += 1
+    assert len(distinct) > 1.25 * (1 << 20)
+
+    def expected(t):
+        total = 0.0
+        for c, sign in ((1, 1), (0, -1)):
+            for i, p in enumerate(pieces(t)):
+                if i % (urls.ORDER + 1) == 0:
+                    chance = 1 / 256
+                if n := seen[c].get(p[:-1]):
+                    chance = (n[p[-1]] + len(n) * chance) / (sum(n.values()) + len(n))
+                if i % (urls.ORDER + 1) == urls.ORDER:
+                    total += sign * math.log(chance)
+        return total / len(t)
+
+    model = urls.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page_id bigint, url string"))
+    truth = [expected(t) for t in asked]
+    assert np.allclose(model.scores(asked), truth, rtol=0, atol=1e-8)
+    monkeypatch.setattr(urls, "HEAD", 100)
+    assert np.allclose(model.scores(asked), truth, rtol=0, atol=1e-8)
+
+
 def test_held_out(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     model = urls.train(pages.where("page_id % 2 = 0"))
