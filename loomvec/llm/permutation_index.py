@@ -7,7 +7,8 @@ distance of the two orders (the sum of the differences of all pivots' places), a
 the best with its own vector; its answer is the best of all files it opened.
 
 The number compared per file grows with the square root of the table, RERANK
-times that and k. A large file is dealt into parts of at most PART rows for queries and for posted
+times that and k, and all that tie with the last of these: copies have equal orders, however many
+they are. Rows that share an id count as one there and as one neighbour, by the nearest. A large file is dealt into parts of at most PART rows for queries and for posted
 vectors, each pair of parts is a task of its own, so no task grows with the table.
 
 Similarity is the cosine, rounded to 6 digits; ties go to the smaller id. Defined
@@ -62,6 +63,14 @@ def footrule(queries: np.ndarray, posted: np.ndarray) -> np.ndarray:
     return total
 
 
+def nearest(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best different ids, each where it scores best; ties go to the smaller id."""
+    order = np.lexsort((ids, -score))
+    order = order[np.isfinite(score[order])]
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
+
+
 def search(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, posted: int = POSTED, probed: int = PROBED, rerank: float = RERANK) -> DataFrame:
     """query_id, rank, neighbor_id, score: about the k most similar others of every row."""
     table = usable(vectors, id_col, vector_col)
@@ -103,22 +112,25 @@ def search(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
         if queries.num_rows and postings.num_rows:
             q_id, q_place, q = unpack(queries)
             d_id, d_place, d = unpack(postings)
+            order = np.argsort(d_id, kind="stable")
+            first = np.flatnonzero(np.diff(d_id[order], prepend=d_id[order[0]] - 1))
             for a in range(0, len(q_id), BLOCK):
                 far = footrule(q_place[:, a : a + BLOCK], d_place)
                 far[q_id[a : a + BLOCK, None] == d_id[None, :]] = np.iinfo(far.dtype).max
-                best = np.argpartition(far, compared - 1, axis=1)[:, :compared] if compared < len(d_id) else np.broadcast_to(np.arange(len(d_id)), far.shape)
-                for i in range(best.shape[0]):
-                    own = best[i]
+                by_id = far if len(first) == len(d_id) else np.minimum.reduceat(far[:, order], first, axis=1)
+                cut = np.partition(by_id, compared - 1, axis=1)[:, compared - 1] if compared < len(first) else np.full(len(far), np.iinfo(far.dtype).max)
+                for i in range(len(far)):
+                    own = np.flatnonzero(far[i] <= cut[i])
                     score = np.round(d[own] @ q[a + i], 6) + 0.0
                     score[d_id[own] == q_id[a + i]] = -np.inf
-                    top = np.lexsort((d_id[own], -score))[: 2 * k]
-                    top = top[np.isfinite(score[top])]
+                    top = nearest(d_id[own], score, k)
                     out.append((np.full(len(top), q_id[a + i]), d_id[own[top]], score[top]))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": columns[0].astype(np.int64), "neighbor_id": columns[1].astype(np.int64), "score": columns[2]})
 
     keys = ["pivot", "q_part", "d_part"]
     found = probes.groupBy(*keys).cogroup(files.groupBy(*keys)).applyInArrow(answer, "query_id bigint, neighbor_id bigint, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), F.col("neighbor_id").alias("n")))), 1, k).alias("best"))
+    merged = found.groupBy("query_id", "neighbor_id").agg(F.max("score").alias("score"))
+    best = merged.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("neighbor_id").alias("n")))), 1, k).alias("best"))
     ranked = best.select("query_id", F.posexplode("best").alias("i", "x"))
     return ranked.select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.n").alias("neighbor_id"), (-F.col("x.s") + F.lit(0.0)).alias("score"))

@@ -71,6 +71,29 @@ def test_permutation_index_with_all_files_is_exact(small):
     assert as_set(found) == sorted(brute(rows_of(vectors), 5, True))
 
 
+def test_permutation_index_finds_the_smallest_of_many_copies(spark):
+    """600 copies where about 100 a file are compared: all of them are looked at."""
+    rng = np.random.default_rng(6)
+    vs = rng.normal(size=(2000, 16)).round(3)
+    copies = np.sort(rng.permutation(2000)[:600])
+    vs[copies] = vs[copies[0]]
+    rows = [(i, v.tolist()) for i, v in enumerate(vs)]
+    found = as_set(permutation_index.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 10))
+    lists = {}
+    for q, _, n, s in found:
+        lists.setdefault(q, []).append((n, s))
+    for q in copies.tolist():
+        assert lists[q] == [(n, 1.0) for n in copies.tolist() if n != q][:10]
+
+
+def test_permutation_index_counts_an_id_once(spark):
+    """An id of many rows, alike or not, is one neighbour, at its best."""
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, x / 1000]) for x in range(40) for _ in (0, 1)] + [(i, [1.0, float(i)]) for i in range(2, 8)]
+    found = as_set(permutation_index.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 3, pivots=8, posted=8, probed=8))
+    assert [(r, n) for q, r, n, _ in found if q == 0] == [(1, 1), (2, 2), (3, 3)]
+    assert all(sum(x == q for x, *_ in found) == 3 for q in range(8))
+
+
 def test_permutation_defined_results(odd_vectors, spark):
     usable = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (9, [0.0, 0.0]), (10, [float(np.float32(0.6)), float(np.float32(0.8))])]
     assert as_set(permutation_index.search(odd_vectors, 10)) == sorted(brute(usable, 10, True))
