@@ -1,125 +1,37 @@
 """Exact top-k search by tiled matrix products.
 
-The vectors are dealt into about equal tiles, each packed into one row. Every
+Queries and vectors are dealt into about equal tiles, each packed into one row. Every
 task holds tiles of queries and shards, multiplies them, keeps each query's best
 k of the product and folds them into what it has; the lists of different tasks
-are merged pairwise in a tree of groupings, so no step ever holds more than
+are merged in a tree of groupings, so no step ever holds more than
 `fan` lists of a query tile.
 
 Scores are inner products in double precision, rounded to `digits`; ties go to
 the smaller id. Defined results: rows with a null id, a null or empty vector or one
-with a null, NaN or infinity are no candidates and no queries; repeated rows are candidates each; a vector
-of another length is an error; fewer than k candidates give shorter lists; an
-empty table gives no rows. Extra columns are ignored."""
+with a null, NaN or infinity are no candidates and no queries; repeated rows are candidates
+and queries each; a vector of another length is an error, as is an id column that holds no
+integers; fewer than k candidates give shorter lists; an empty table or query set gives no rows. Extra columns are ignored."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from loomvec.session import stored
-
-PACKED = "tile int, ids binary, vectors binary"
-LISTS = "tile int, part int, n int, ids binary, best_id binary, best_score binary"
-
-
-def packed_tiles(vectors: DataFrame, id_col: str, vector_col: str, tile_rows: int) -> DataFrame:
-    """PACKED rows of about tile_rows vectors. Their number follows from the table's
-    size, a row's tile from its id and vector, so a rerun deals alike."""
-    chosen = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(
-        F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    )
-    tiles = max(1, math.ceil(chosen.count() / tile_rows))
-
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        width = table["v"].combine_chunks()
-        flat = width.flatten().to_numpy(zero_copy_only=False)
-        if len(flat) % table.num_rows or len(set(width.value_lengths().to_pylist())) > 1:
-            raise ValueError("vectors differ in length")
-        return pa.table({"tile": pa.array([table["tile"][0].as_py()], pa.int32()), "ids": [table["id"].to_numpy().astype(np.int64).tobytes()], "vectors": [flat.astype(np.float64).tobytes()]})
-
-    tiled = chosen.withColumn("tile", F.pmod(F.xxhash64("id", "v"), F.lit(tiles)).cast("int"))
-    return stored(tiled.groupBy("tile").applyInArrow(pack, PACKED), "tiles")
-
-
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row by score, then id; scores of -inf stand for none."""
-    if scores.shape[1] > k:
-        # all that tie with the k-th stay until ids have decided
-        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        most = int((scores >= kth[:, None]).sum(1).max())
-        keep = np.argpartition(-scores, min(most, scores.shape[1]) - 1, axis=1)[:, :most]
-        ids = np.take_along_axis(ids, keep, 1)
-        scores = np.take_along_axis(scores, keep, 1)
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-
-
-def merged(lists: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    return best(np.concatenate([a for a, _ in lists], 1), np.concatenate([b for _, b in lists], 1), k)
-
-
-def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tile_rows: int = 2048, digits: int = 6, fan: int = 8) -> DataFrame:
-    """query_id, rank, neighbor_id, score: the k nearest others of every vector. A
-    row is not its own neighbour, nor is any row with its id."""
-    tiles = packed_tiles(vectors, id_col, vector_col, tile_rows)
-    shards = tiles.select(F.col("tile").alias("shard"), F.col("ids").alias("s_ids"), F.col("vectors").alias("s_vectors"))
-    pairs = tiles.select("tile", "ids", "vectors").crossJoin(shards.hint("shuffle_replicate_nl"))
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple] = {}
-        for batch in batches:
-            for row in range(batch.num_rows):
-                tile, ids, vs, shard, s_ids, s_vs = (batch.column(i)[row].as_py() for i in range(6))
-                q, s = np.frombuffer(ids, np.int64), np.frombuffer(s_ids, np.int64)
-                a, b = np.frombuffer(vs).reshape(len(q), -1), np.frombuffer(s_vs).reshape(len(s), -1)
-                if a.shape[1] != b.shape[1]:
-                    raise ValueError("vectors differ in length")
-                scores = np.round(a @ b.T, digits) + 0.0
-                scores[q[:, None] == s[None, :]] = -np.inf
-                found = best(np.broadcast_to(s, scores.shape), scores, k)
-                before = held.get(tile)
-                held[tile] = (shard, ids, merged([before[2], found], k)) if before else (shard, ids, found)
-                if len(held) > fan:
-                    oldest = next(iter(held))
-                    yield rows(oldest, held.pop(oldest))
-        for item in held.items():
-            yield rows(*item)
 
-    def rows(tile: int, item: tuple) -> pa.RecordBatch:
-        shard, ids, (i, s) = item
-        return pa.RecordBatch.from_pydict({"tile": pa.array([tile], pa.int32()), "part": pa.array([shard], pa.int32()), "n": pa.array([i.shape[1]], pa.int32()), "ids": [ids], "best_id": [np.ascontiguousarray(i).tobytes()], "best_score": [np.ascontiguousarray(s).tobytes()]})
+from loomvec.llm.tiles import best, packed, searched, unfolded, usable
 
-    def merge(table: pa.Table) -> pa.Table:
-        lists = []
-        for row in table.to_pylist():
-            shape = (len(row["ids"]) // 8, row["n"])
-            lists.append((np.frombuffer(row["best_id"], np.int64).reshape(shape), np.frombuffer(row["best_score"]).reshape(shape)))
-        first = table.slice(0, 1).to_pylist()[0]
-        return pa.Table.from_batches([rows(first["tile"], (first["part"], first["ids"], merged(lists, k)))])
 
-    lists = pairs.mapInArrow(products, LISTS)
-    spread = max(1, math.ceil(tiles.count() / fan))
-    while spread > 1:
-        lists = lists.groupBy("tile", F.expr(f"pmod(part, {spread})").alias("group")).applyInArrow(merge, LISTS)
-        spread = math.ceil(spread / fan)
-    lists = lists.groupBy("tile").applyInArrow(merge, LISTS)
+def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tile_rows: int = 2048, digits: int = 6, fan: int = 8) -> DataFrame:
+    """query_id, rank, neighbor_id, score: the k nearest others in `vectors` of every row of `queries`,
+    of every vector where none are given. A row is not its own neighbour, nor is any row with its id."""
+    shards = packed(usable(vectors, id_col, vector_col), tile_rows)
+    asked = shards if queries is None else packed(usable(queries, id_col, vector_col), tile_rows)
 
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q = np.frombuffer(row["ids"], np.int64)
-                i, s = np.frombuffer(row["best_id"], np.int64), np.frombuffer(row["best_score"])
-                keep = np.isfinite(s)
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(q, row["n"])[keep], "rank": np.tile(np.arange(1, row["n"] + 1, dtype=np.int32), len(q))[keep], "neighbor_id": i[keep], "score": s[keep]})
+    def product(q_id: np.ndarray, q: np.ndarray, s_id: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        scores = np.round(q @ s.T, digits) + 0.0
+        scores[q_id[:, None] == s_id[None, :]] = -np.inf
+        return best(np.broadcast_to(s_id, scores.shape), scores, k)
 
-    return lists.mapInArrow(unfold, "query_id bigint, rank int, neighbor_id bigint, score double")
+    return unfolded(searched(asked, shards, product, k, fan))
 
 
 ORACLE = """
@@ -127,5 +39,5 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, score FROM (
   SELECT q.vec_id AS query_id, d.vec_id AS neighbor_id,
          round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) + 0.0 AS score,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) + 0.0 DESC, d.vec_id) AS rank
-  FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id)
+  FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0)
 WHERE rank <= 10"""

@@ -1,44 +1,35 @@
 """Approximate nearest neighbours by permutation index.
 
 A vector is represented by the order in which it meets the pivots, nearest first.
-It is posted in the inverted files of its first POSTED pivots. A query opens
-the files of its first PROBED pivots, ranks what is posted there by footrule
-distance of the two orders (the sum of the differences of all pivots' places), and compares
-the best with its own vector; its answer is the best of all files it opened.
+The index is dealt into shards; in each, a vector is posted in the inverted files of its first POSTED
+pivots. A query opens the files of its first PROBED pivots, ranks what is posted there by footrule
+distance of the two orders (the sum of the differences of all pivots' places), and reranks
+the best of them, one in SHARE of the shard's rows and at least LEAST, by their vectors.
+Lists of shards are merged in a tree. Only blocks of queries travel to shards; no vector is sent more
+than once however many files it is posted in.
 
-The number compared per file grows with the square root of the table, RERANK
-times that and k, and all that tie with the last of these: copies have equal orders, however many
-they are. Rows that share an id count as one there and as one neighbour, by the nearest. A large file is dealt into parts of at most PART rows for queries and for posted
-vectors, each pair of parts is a task of its own, so no task grows with the table.
+All that tie with the last candidate reranked are reranked too: copies have equal orders, however many they
+are. Pivots are the vectors of the smallest hashes among those whose hash lies in a
+part of its range that holds about SAMPLE times PIVOTS of them: a bounded sample.
 
 Similarity is the cosine, rounded to 6 digits; ties go to the smaller id. Defined
 results: rows with a null id, a null or empty vector or one with a null, NaN or
 infinity are left out; a zero vector has similarity 0 to all; a vector of another
-length is an error; an id isn't its own neighbour, nor are rows that repeat it; rows that
-share an id answer as one query; fewer than k candidates give shorter lists; an
-empty table gives no rows. Extra columns are ignored."""
+length is an error, as is an id column that holds no integers; an id isn't its own neighbour, nor are rows that repeat it; rows that
+share an id count as one neighbour, by the nearest, and answer as one query; fewer than k candidates give shorter lists; an
+empty table or query set gives no rows. Extra columns are ignored."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomvec.session import stored
-
-PIVOTS, POSTED, PROBED, RERANK = 128, 16, 8, 2.0
-PART = 8192
-BLOCK = 64  # queries whose footrule distances are computed at once
-
+from loomvec.llm.tiles import best_by_id, packed, searched, unfolded, usable
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and v of the rows that take part."""
-    chosen = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    return chosen.where(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+PIVOTS, POSTED, PROBED, SHARE, LEAST = 256, 24, 10, 24, 40
+SHARD_ROWS, SAMPLE = 4096, 16
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -47,90 +38,87 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if len(flat) != width * len(column) or set(column.value_lengths().to_pylist()) - {width}:
         raise ValueError("vectors differ in length")
-    rows = flat.reshape(-1, width)
+    return units(flat.reshape(-1, width))
+
+
+def units(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-300)
 
 
-def footrule(queries: np.ndarray, posted: np.ndarray) -> np.ndarray:
-    """The footrule distances of places (rows) of queries and of posted vectors. Places
-    are given by pivot first, so a pivot's are contiguous."""
-    total = np.zeros((queries.shape[1], posted.shape[1]), dtype=np.int32 if len(queries) > 180 else np.int16)
-    difference = np.empty_like(total)
-    for q, d in zip(queries, posted):
-        np.subtract(d[None, :], q[:, None], out=difference)
-        np.abs(difference, out=difference)
-        total += difference
-    return total
+def places(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of each pivot in the order of each row; of equally near pivots the first."""
+    order = np.argsort(-np.round(rows @ centres.T, 12), axis=1, kind="stable")
+    place = np.empty(order.shape, dtype=np.int16)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1], dtype=np.int16), order.shape), 1)
+    return place
+
+
+def footrule(query: np.ndarray, posted: np.ndarray) -> np.ndarray:
+    """The footrule distances of one row of places and many."""
+    return np.abs(posted - query).sum(1, dtype=np.int32)
+
+
+class Shard:
+    """A shard's vectors with their places and inverted files."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, centres: np.ndarray, posted: int):
+        self.ids, self.rows = ids, units(rows)
+        self.place = places(self.rows, centres)
+        pivot, row = np.nonzero(self.place.T < posted)
+        self.files = np.split(row, np.searchsorted(pivot, np.arange(1, len(centres))))
+
+    def candidates(self, place: np.ndarray, probed: int, compared: int, but: int) -> np.ndarray:
+        """Rows of other ids in the files a query opens, the nearest `compared` by footrule and all that tie with the last."""
+        opened = np.zeros(len(self.ids), dtype=bool)
+        for pivot in np.flatnonzero(place < probed):
+            opened[self.files[pivot]] = True
+        own = np.flatnonzero(opened & (self.ids != but))
+        first = np.flatnonzero(np.diff(self.ids[own], prepend=but))  # ids ascend, and one of many rows counts once
+        if len(first) <= compared:
+            return own
+        far = footrule(place, self.place[own])
+        by_id = far if len(first) == len(own) else np.minimum.reduceat(far, first)
+        return own[far <= np.partition(by_id, compared - 1)[compared - 1]]
 
 
-def nearest(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best different ids, each where it scores best; ties go to the smaller id."""
-    order = np.lexsort((ids, -score))
-    order = order[np.isfinite(score[order])]
-    _, first = np.unique(ids[order], return_index=True)
-    return order[np.sort(first)[:k]]
+def chosen_pivots(table: DataFrame, n: int, pivots: int) -> list:
+    """At most so many different vectors, from a bounded sample by hash."""
+    part = max(1, n // (SAMPLE * pivots))
+    for parts in dict.fromkeys((part, 1)):  # 1 where a table of copies has none in that part
+        sample = table.where(F.pmod(F.xxhash64("v"), F.lit(parts)) == 0).select("v").dropDuplicates()
+        if heads := sample.orderBy(F.xxhash64("v"), "v").limit(pivots).collect():
+            return [r.v for r in heads]
+    return []
 
 
-def search(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, posted: int = POSTED, probed: int = PROBED, rerank: float = RERANK) -> DataFrame:
-    """query_id, rank, neighbor_id, score: about the k most similar others of every row."""
+def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, posted: int = POSTED, probed: int = PROBED, share: int = SHARE, shard_rows: int = SHARD_ROWS, fan: int = 8) -> DataFrame:
+    """query_id, rank, neighbor_id, score: about the k most similar others in `vectors` of every row of
+    `queries`, of every vector where none are given."""
     table = usable(vectors, id_col, vector_col)
-    spark = vectors.sparkSession
     n = table.count()
-    heads = table.dropDuplicates(["v"]).orderBy(F.xxhash64("v"), "id").limit(pivots).select("v").collect()
+    heads = chosen_pivots(table, n, pivots)
     if not heads:
-        return spark.createDataFrame([], "query_id bigint, rank int, neighbor_id bigint, score double")
-    width = len(heads[0].v)
-    centres = matrix(pa.array([r.v for r in heads], pa.list_(pa.float64())), width)
-    m = len(centres)
-    posted, probed = min(posted, m), min(probed, m)
-    compared = math.ceil(rerank * math.sqrt(n)) + k
-    parts = max(1, math.ceil(n * posted / m / PART))
-
-    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = matrix(batch.column(1), width)
-            order = np.argsort(-np.round(rows @ centres.T, 12), axis=1, kind="stable").astype(np.int16)
-            place = np.empty_like(order)
-            np.put_along_axis(place, order.astype(np.int64), np.broadcast_to(np.arange(m, dtype=np.int16), order.shape), 1)
-            first = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * posted), pa.array(np.ascontiguousarray(order[:, :posted]).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), first, pa.array([r.tobytes() for r in place], pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "first", "place", "unit"])
-
-    index = stored(table.mapInArrow(orders, "id bigint, first array<smallint>, place binary, unit binary"), "permutations")
-    part = F.pmod(F.xxhash64("id", "unit"), F.lit(parts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    files = index.select("id", "place", "unit", F.explode("first").alias("pivot"), part.alias("d_part")).withColumn("q_part", every)
-    probes = index.select("id", "place", "unit", F.explode(F.slice("first", 1, probed)).alias("pivot"), part.alias("q_part")).withColumn("d_part", every)
-
-    def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        place = np.frombuffer(b"".join(table["place"].to_pylist()), dtype=np.int16).reshape(-1, m)
-        return table["id"].to_numpy(), np.ascontiguousarray(place.T), np.frombuffer(b"".join(table["unit"].to_pylist())).reshape(-1, width)
-
-    def answer(queries: pa.Table, postings: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if queries.num_rows and postings.num_rows:
-            q_id, q_place, q = unpack(queries)
-            d_id, d_place, d = unpack(postings)
-            order = np.argsort(d_id, kind="stable")
-            first = np.flatnonzero(np.diff(d_id[order], prepend=d_id[order[0]] - 1))
-            for a in range(0, len(q_id), BLOCK):
-                far = footrule(q_place[:, a : a + BLOCK], d_place)
-                far[q_id[a : a + BLOCK, None] == d_id[None, :]] = np.iinfo(far.dtype).max
-                by_id = far if len(first) == len(d_id) else np.minimum.reduceat(far[:, order], first, axis=1)
-                cut = np.partition(by_id, compared - 1, axis=1)[:, compared - 1] if compared < len(first) else np.full(len(far), np.iinfo(far.dtype).max)
-                for i in range(len(far)):
-                    own = np.flatnonzero(far[i] <= cut[i])
-                    score = np.round(d[own] @ q[a + i], 6) + 0.0
-                    score[d_id[own] == q_id[a + i]] = -np.inf
-                    top = nearest(d_id[own], score, k)
-                    out.append((np.full(len(top), q_id[a + i]), d_id[own[top]], score[top]))
-        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": columns[0].astype(np.int64), "neighbor_id": columns[1].astype(np.int64), "score": columns[2]})
-
-    keys = ["pivot", "q_part", "d_part"]
-    found = probes.groupBy(*keys).cogroup(files.groupBy(*keys)).applyInArrow(answer, "query_id bigint, neighbor_id bigint, score double")
-    merged = found.groupBy("query_id", "neighbor_id").agg(F.max("score").alias("score"))
-    best = merged.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("neighbor_id").alias("n")))), 1, k).alias("best"))
-    ranked = best.select("query_id", F.posexplode("best").alias("i", "x"))
-    return ranked.select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.n").alias("neighbor_id"), (-F.col("x.s") + F.lit(0.0)).alias("score"))
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, neighbor_id bigint, score double")
+    centres = matrix(pa.array(heads, pa.list_(pa.float64())), len(heads[0]))
+    posted, probed = min(posted, len(centres)), min(probed, len(centres))
+    shards = packed(table, shard_rows, n)
+    asked = shards if queries is None else packed(usable(queries, id_col, vector_col), shard_rows)
+
+    def product(q_id: np.ndarray, q: np.ndarray, s_id: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if q.shape[1] != centres.shape[1]:
+            raise ValueError("vectors differ in length")
+        shard, q = Shard(s_id, s, centres, posted), units(q)
+        compared = max(LEAST, 4 * k, -(-len(s_id) // share))
+        ids, scores = np.zeros((len(q), k), np.int64), np.full((len(q), k), -np.inf)
+        for i, place in enumerate(places(q, centres)):
+            own = shard.candidates(place, probed, compared, q_id[i])
+            if len(own):
+                score = np.round(shard.rows[own] @ q[i], 6) + 0.0
+                top_id, top = best_by_id(shard.ids[own][None], score[None], k)
+                ids[i, : top.shape[1]], scores[i, : top.shape[1]] = top_id[0], top[0]
+        return ids, scores
+
+    rows = unfolded(searched(asked, shards, product, k, fan, best_by_id))
+    once = rows.groupBy("query_id", "neighbor_id").agg(F.max("score").alias("score"))  # rows that share an id answer as one
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbor_id"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "score")
