@@ -22,7 +22,8 @@ QUERIES["op1_byte_bpe"] = op1_byte_bpe
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = warc.chunk_table(table(spark, sf_dir, "pages"), "page_id", "html")
+    """The pages as records of .warc.gz files, streamed back as chunk rows."""
+    chunks = warc.through_files(table(spark, sf_dir, "pages"), "page_id", "html", uri_col="url")
     return chunks.withColumn("payload", F.translate(F.base64("payload"), "\r\n", ""))  # without MIME line ends
 
 
