@@ -6,8 +6,11 @@ interpolation, so a context counts as far as it has been seen. A URL's score is
 the difference of the two log-likelihoods for each byte. The threshold is
 calibrated on the accepted URLs, all of them: a set share of them may exceed it.
 
-Training labels come from seed words: a URL whose host has one is rejected, others
-are accepted. All URLs of the table count.
+Training labels are a column of the table, or come from seed words: a URL whose host has one is
+rejected, others are accepted. All URLs with a label count. The threshold is taken from scores of URLs
+by models that haven't seen them: each half of the URLs, dealt by hash, is scored by the
+counts of the other half, and the score that the set share of the accepted ones exceeds is read
+from a histogram of fixed bins (STEP wide). Where a half lacks one of the classes the scores of the whole model stand in.
 
 Counts are exact. A byte and the ORDER bytes before it, its gram, fit one number, and decide
 what the byte adds to the score; the contexts of lower orders are parts of it. The model is a stored
@@ -16,7 +19,7 @@ bytes before the last, which all contexts of two bytes and more have in common;
 fewer bytes are counted in a table of 2**16 numbers a class, all there can be. The HEAD most frequent
 grams' ratios are sent to the tasks, URLs with others are joined with theirs.
 
-Defined results: a null or empty URL has score 0 and is accepted; without any
+Defined results: a null or empty URL has score 0 and is accepted; a null label isn't learned from; without any
 rejected or any accepted URL all are accepted with score 0. Letter case is ignored.
 Repeated rows are scored each; extra columns are ignored; a URL at the threshold is
 accepted. Long URLs count whole."""
@@ -45,7 +48,9 @@ START = 1  # the sign before a URL
 #: Ratios sent to every task; changes no result.
 HEAD = 200_000
 
-COUNTED = "gram bigint, bad bigint, good bigint"
+COUNTED = "fold int, gram bigint, bad bigint, good bigint"
+#: Width and range of the bins of scores that the threshold is read from.
+STEP, RANGE = 0.001, 30.0
 
 
 def host(url):
@@ -88,20 +93,28 @@ class UrlModel:
         return np.array([r.score for r in score(rows, self).orderBy("page_id").collect()])
 
 
-def counts(urls: DataFrame, url_col: str, seeds: tuple[str, ...]) -> DataFrame:
-    """COUNTED: how often each gram occurs in each class."""
-    labelled = urls.where(f"length(`{url_col}`) > 0").select(F.lower(url_col).alias("url"), seeded(url_col, seeds).alias("bad"))
+def labelled(urls: DataFrame, url_col: str, label_col: str | None, seeds: tuple[str, ...]) -> DataFrame:
+    """url in lower case, whether it is rejected, and its half, of what is learned from."""
+    bad = seeded(url_col, seeds) if label_col is None else F.col(label_col).cast("boolean")
+    rows = urls.where(f"length(`{url_col}`) > 0").select(F.lower(url_col).alias("url"), bad.alias("bad")).where("bad is not null")
+    return rows.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(2)).cast("int"))
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """COUNTED: how often each gram occurs in each class of each half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags = batch.column(1).to_numpy(zero_copy_only=False)
+            flags, folds = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for a, b, texts in text_slices(batch.column(0), SLICE):
                 gram, of = grams(texts)
-                found, at = np.unique(gram, return_inverse=True)
-                bad = np.bincount(at[flags[a:b][of]], minlength=len(found))
-                yield pa.RecordBatch.from_pydict({"gram": found, "bad": bad, "good": np.bincount(at, minlength=len(found)) - bad})
+                for fold in (0, 1):
+                    own = folds[a:b][of] == fold
+                    found, at = np.unique(gram[own], return_inverse=True)
+                    bad = np.bincount(at[flags[a:b][of[own]]], minlength=len(found))
+                    yield pa.RecordBatch.from_pydict({"fold": np.full(len(found), fold, np.int32), "gram": found, "bad": bad, "good": np.bincount(at, minlength=len(found)) - bad})
 
-    return labelled.mapInArrow(run, COUNTED).groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return rows.mapInArrow(run, COUNTED).groupBy("fold", "gram").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
 def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -151,21 +164,38 @@ def ratios(wanted: DataFrame, model: UrlModel) -> DataFrame:
     return routed.mapInArrow(run, "gram bigint, n bigint, ratio double")
 
 
-def train(urls: DataFrame, url_col: str = "url", seeds: tuple[str, ...] = SEEDS, false_rejection: float = FALSE_REJECTION) -> UrlModel:
-    """The two models of all URLs and the calibrated threshold. The driver gets the
-    counts of pairs of bytes."""
-    total = stored(counts(urls, url_col, seeds), "url-counts")
+def model_of(total: DataFrame) -> UrlModel:
+    """The model of stored counts, an empty one where a class is missing. The driver gets the counts of pairs of bytes."""
     pairs = np.zeros((2, 256, 256))
     found = total.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
     for c, name in enumerate(("bad", "good")):
         pairs[c].reshape(-1)[found["pair"].to_numpy()] = found[name].to_numpy()
-    if not pairs.any((1, 2)).all():
-        return UrlModel()
-    model = UrlModel(total, pairs)
-    clean = urls.where(f"length(`{url_col}`) > 0").where(~seeded(url_col, seeds))
-    accepted = score(clean.select(F.lit(0).alias("id"), F.col(url_col)), model, "id", url_col)
-    cut = accepted.agg(F.percentile("score", 1 - false_rejection)).first()[0]
-    return UrlModel(total, pairs, float(cut) if cut is not None else float("inf"))
+    return UrlModel(total, pairs) if pairs.any((1, 2)).all() else UrlModel()
+
+
+def cut(scored: list[DataFrame], share: float) -> float:
+    """The least multiple of STEP that at most so large a share of the scores exceeds; infinite without scores."""
+    bins = int(2 * RANGE / STEP)
+    place = F.least(F.greatest(F.ceil((F.col("score") + RANGE) / STEP), F.lit(0)), F.lit(bins)).cast("int")
+    found = reduce(DataFrame.unionAll, [x.select("score") for x in scored]).groupBy(place.alias("bin")).count().toArrow()
+    n = np.bincount(found["bin"].to_numpy(), found["count"].to_numpy(), bins + 1)
+    above = n.sum() - np.cumsum(n)
+    return float(np.flatnonzero(above <= share * n.sum())[0] * STEP - RANGE) if n.any() else float("inf")
+
+
+def train(urls: DataFrame, url_col: str = "url", seeds: tuple[str, ...] = SEEDS, false_rejection: float = FALSE_REJECTION, label_col: str | None = None) -> UrlModel:
+    """The two models of all labelled URLs and the calibrated threshold. label_col is true or 1 for a
+    rejected URL; without it the seed words decide."""
+    rows = labelled(urls, url_col, label_col, seeds)
+    halves = stored(counts(rows), "url-halves")
+    model = model_of(stored(halves.groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "url-counts"))
+    if model.total is None:
+        return model
+    half = [model_of(halves.where(F.col("fold") == f).drop("fold")) for f in (0, 1)]
+    sound = all(h.total is not None for h in half)
+    accepted = rows.where("not bad").select(F.lit(0).alias("id"), "url", "fold")
+    scored = [score(accepted.where(F.col("fold") == 1 - f), half[f], "id", "url") for f in (0, 1)] if sound else [score(accepted, model, "id", "url")]
+    return UrlModel(model.total, model.pairs, cut(scored, false_rejection))
 
 
 def score(urls: DataFrame, model: UrlModel, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
