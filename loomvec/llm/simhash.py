@@ -15,15 +15,20 @@ being copies, but not their order. The sketch has the smallest hash of the tripl
 
 Documents with equal fingerprints are one before keys are made. Within a key the
 verified pairs of a large group are replaced by a forest that connects the same
-documents, found by search from one member after another; groups are the connected components.
+documents, found by search from one member after another. Where that takes more than BUDGET comparisons a member,
+members being unlike, finer keys part the rest, again and again: alike documents agree either in at least 5 of the sketch's 16 slots
+(fewer where fewer are filled) or, at most SURE bits apart, in all but SURE of 16 pieces of 11 or 12 bits, hence
+in a pair of some of few groups. Slots and pieces that most of a key's members share make no keys. So no pair is lost and unlike members aren't all compared.
+Rows come sorted by key, and a key of more than HOT rows isn't held: its rows go
+by their finer keys to other tasks. Groups are the connected components.
 
 Rows travel by the first segment's indices, once for all pairs it is the first of; the
 other segments are expanded where they arrive. Where the table is large they travel for each pair
 by some bits of the second's as well.
 
 Defined results: null ids and null or empty texts are no duplicates of anything;
-a text without letters is a duplicate of equal texts alone. Rows that share an id are
-one document and stay or go together. The smallest id of a group stays. Extra columns are ignored.
+a text without letters and digits is a duplicate of equal texts alone. Words are runs of letters or of digits. Rows that share an id are
+one document and stay or go together. Ids may be of any type that can be ordered; the smallest id of a group stays. Extra columns are ignored.
 Very long texts count whole."""
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from loomvec.llm.textarrays import Words, mixed, text_slices
 from loomvec.session import stored
@@ -45,13 +51,16 @@ SEGMENT, SEGMENTS, PAIRS, BITS = 23, 8, 4, 184
 #: Bits in which the fingerprints of near copies differ at most, of 184.
 MAX_DISTANCE = 36
 #: Bits up to which that alone decides, and the share of slots that must agree beyond.
-SURE, AGREE = 11, 0.3
+SURE, AGREE = 7, 0.3
 RADIUS = 4
 GENERATOR = 0xC75
 #: Members of a key beyond which a forest takes the place of all pairs, and pairs verified at once; neither changes the groups.
 FOREST, BLOCK = 48, 1 << 21
-#: Rows of one routing key aimed at; it changes no result.
-ROWS_PER_KEY = 20_000
+#: Comparisons a member before finer keys are used; rows of a routing key that are held, rows worked on
+#: at once, rows of a routing key and of a task aimed at. None changes a group.
+BUDGET, HOT, AT_ONCE, ROWS_PER_KEY, ROWS_PER_TASK = 16, 1_000_000, 200_000, 20_000, 2_000_000
+#: How often keys are refined before all members are compared.
+DEPTH = 3
 PRINT = [f"p{i}" for i in range(PAIRS)]
 SKETCH = ["s0", "s1"]
 SLOTS = 16
@@ -117,7 +126,7 @@ def sketches(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 def fingerprint_slice(texts: list[str | None]) -> np.ndarray:
     """Texts by PAIRS, 46 bits each, and their sketches in two further columns."""
-    found = Words(texts)
+    found = Words(texts, "LMN")
     words = found.hashes()
     of = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(found.text_words))
     sketch = sketches(words, of.astype(np.int64), len(texts))
@@ -183,20 +192,121 @@ def group_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndar
         yield base + rank - high * (high - 1) // 2, base + high
 
 
-def forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
+def forest(prints: np.ndarray, most: int, budget: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what a chain of near copies connects: each
-    member reached is compared with those not yet reached."""
+    member reached is compared with those not yet reached. And, once so many
+    comparisons are made, the members that are still to be compared with each other."""
     left = np.arange(len(prints))
-    edges: list[tuple[int, int]] = []
+    edges = [np.zeros((0, 2), dtype=np.int64)]
+    queue: list[int] = []
     while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = alike(prints[left], prints[at], most)
-            reached = left[near]
-            edges += [(at, int(x)) for x in reached]
-            queue += reached.tolist()
-            left = left[~near]
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        if budget is not None:
+            budget -= len(left)
+            if budget < 0:
+                return np.concatenate(edges), np.sort(np.concatenate([np.array(queue, dtype=np.int64), left]))
+        at = queue.pop()
+        near = alike(prints[left], prints[at], most)
+        reached = left[near]
+        edges.append(np.stack([np.full(len(reached), at), reached], 1))
+        queue += reached.tolist()
+        left = left[~near]
+    return np.concatenate(edges), np.zeros(0, dtype=np.int64)
+
+
+def pieces(prints: np.ndarray) -> np.ndarray:
+    """The halves of all segments, 11 and 12 bits, and the slots of the sketch: rows by 16, each."""
+    halves = [prints[:, part] >> a & ((1 << (b - a)) - 1) for part in range(PAIRS) for a, b in ((23, 34), (34, 46), (0, 11), (11, 23))]
+    slots = np.ascontiguousarray(prints[:, PAIRS:]).view(np.uint8).reshape(len(prints), SLOTS)
+    return np.concatenate([np.stack(halves, 1), slots], 1)
+
+
+def constant(parts: np.ndarray) -> tuple[set[int], set[int]]:
+    """The pieces and slots in which more than half of the rows agree: they part little."""
+    found = {i for i in range(parts.shape[1]) if 2 * np.bincount(parts[:, i]).max() > len(parts)}
+    return {i for i in found if i < 16}, {i - 16 for i in found if i >= 16}
+
+
+def finer_keys(parts: np.ndarray, dead: tuple[set[int], set[int]]) -> Iterator[tuple[np.ndarray, np.ndarray]] | None:
+    """Places of rows and their keys, kind by kind: alike rows share a key of some kind. Keys of different
+    kinds differ. Pieces and slots that are dead make no keys; None where the rest can't tell.
+
+    Of n live pieces alike rows have `least` in common; among least - 1 groups of them, two of some group."""
+    slots = parts[:, 16:]
+    filled = (slots > 0).sum(1)
+    live = [[i for i in range(16) if i not in d] for d in dead]
+    least = len(live[0]) - SURE, 5 - len(dead[1])
+    if min(least) < 1:
+        return None
+
+    def kinds(own: list[int], least: int) -> list[tuple[int, ...]]:
+        groups = [own[g :: least - 1] for g in range(least - 1)]
+        return [(i, j) for g in groups for x, i in enumerate(g) for j in g[x + 1 :]] or [(i,) for i in own]
+
+    def run() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        every, kind = np.arange(len(parts)), 0
+        for columns in kinds(live[0], least[0]):
+            yield every, sum((parts[:, i] << 12 * x for x, i in enumerate(columns)), np.int64(0)) | kind << 32
+            kind += 1
+        few = filled * AGREE <= 4  # only with such can a pair agree in less than 5 slots
+        for columns, own in [*((c, None) for c in kinds(live[1], least[1])), *(((i,), few) for i in range(SLOTS))]:
+            here = (slots[:, columns] > 0).all(1) if own is None else own & (slots[:, columns[0]] > 0)
+            at = np.flatnonzero(here)
+            yield at, sum((slots[at, i] << 8 * x for x, i in enumerate(columns)), np.int64(0)) | kind << 32
+            kind += 1
+        at = np.flatnonzero(filled == 0)
+        yield at, np.full(len(at), kind << 32, dtype=np.int64)
+
+    return run()
+
+
+def labels(n: int, edges: np.ndarray) -> np.ndarray:
+    """The smallest place that each of n places is connected with."""
+    label = np.arange(n)
+    while len(edges):
+        low = np.minimum(label[edges[:, 0]], label[edges[:, 1]])
+        new = label.copy()
+        np.minimum.at(new, edges[:, 0], low)
+        np.minimum.at(new, edges[:, 1], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    return label
+
+
+def linked(prints: np.ndarray, most: int, depth: int = 0) -> np.ndarray:
+    """Edges that connect what chains of near copies connect, without comparing all members where they are unlike."""
+    edges, rest = forest(prints, most, BUDGET * len(prints) if depth < DEPTH else None)
+    if not len(rest):
+        return edges
+    parts = pieces(prints[rest])
+    keyed = finer_keys(parts, constant(parts))
+    if keyed is None:
+        return np.concatenate([edges, rest[forest(prints[rest], most)[0]]])
+    label = labels(len(prints), edges)
+    for own, keys in keyed:
+        order = rest[own[np.argsort(keys, kind="stable")]]
+        keys = np.sort(keys)
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        size = np.diff(start, append=len(keys))
+        fresh = [np.zeros((0, 2), dtype=np.int64)]
+        few = (size > 1) & (size <= FOREST)
+        for a, b in group_pairs(start[few], size[few]):
+            x, y = order[a], order[b]
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            near = alike(prints[x], prints[y], most)
+            fresh.append(np.stack([x[near], y[near]], 1))
+        for s, m in zip(start[size > FOREST], size[size > FOREST]):
+            members = order[s : s + m]
+            if (label[members] != label[members[0]]).any():
+                fresh.append(members[linked(prints[members], most, depth + 1)])
+        new = np.concatenate(fresh)
+        if len(new):
+            edges = np.concatenate([edges, new])
+            label = labels(len(prints), np.concatenate([np.stack([label, np.arange(len(label))], 1), new]))
     return edges
 
 
@@ -215,7 +325,7 @@ def bucket_edges(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: in
     for s, m in zip(start[size > FOREST], size[size > FOREST]):
         own = order[s : s + m]
         own = own[np.argsort(ids[own], kind="stable")]
-        edges = np.array(forest(prints[own], most), dtype=np.int64).reshape(-1, 2)
+        edges = linked(prints[own], most)
         found.append(np.stack([ids[own[edges[:, 0]]], ids[own[edges[:, 1]]]], 1))
     pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
     pairs = np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1)
@@ -227,17 +337,7 @@ def local_forest(pairs: np.ndarray) -> np.ndarray:
     if not len(pairs):
         return pairs
     nodes, at = np.unique(pairs, return_inverse=True)
-    at = at.reshape(-1, 2)
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[at[:, 0]], label[at[:, 1]])
-        new = label.copy()
-        np.minimum.at(new, at[:, 0], low)
-        np.minimum.at(new, at[:, 1], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
+    label = labels(len(nodes), at.reshape(-1, 2))
     other = label != np.arange(len(nodes))
     return np.stack([nodes[label[other]], nodes[other]], 1)
 
@@ -256,13 +356,50 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(more)
 
 
-def near_pairs(prints: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
+def by_key(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[tuple[bool, pa.Table]]:
+    """Rows sorted by their first column, in tables of whole keys of about AT_ONCE rows; keys
+    of more than `hot` rows in pieces, with True."""
+    held: list[pa.RecordBatch] = []
+    size, flowing = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        if flowing is not None:
+            n = int(np.searchsorted(keys, flowing, side="right"))
+            if n:
+                yield True, pa.Table.from_batches([batch.slice(0, n)])
+            if n == len(keys):
+                continue
+            batch, keys, flowing = batch.slice(n), keys[n:], None
+        held.append(batch)
+        size += len(keys)
+        if size < AT_ONCE:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+        if cut:
+            yield False, table.slice(0, cut)
+        held, size = table.slice(cut).combine_chunks().to_batches(), len(keys) - cut
+        if hot is not None and size > hot:
+            flowing = keys[-1]
+            yield True, pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield False, pa.Table.from_batches(held)
+
+
+def near_pairs(prints: DataFrame, most: int = MAX_DISTANCE, hot: int = HOT) -> DataFrame:
     """a, b: edges between ids of different fingerprints, enough to connect each group."""
+    spark = prints.sparkSession
     rows = prints.count()
     bits = max(0, min(12, math.ceil(math.log2(max(1, rows * 5.4 / 4096 / ROWS_PER_KEY)))))
     carried = [*PRINT, *SKETCH]
     pairs = [(i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
     legs = [(i, [j]) for i, j in pairs] if bits else [(i, list(range(i + 1, SEGMENTS))) for i in range(SEGMENTS - 1)]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * 6 * len(legs) / ROWS_PER_TASK))
+    fields = ", ".join(f"{p} bigint" for p in carried)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,33 +415,50 @@ def near_pairs(prints: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
                 route = (top << 17 | index << 5 | leg).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(route), *(pa.array(c[of]) for c in columns)], names=["route", "id", *carried])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        routes, ids = table["route"].to_numpy().astype(np.int64), table["id"].to_numpy()
-        prints = np.stack([table[p].to_numpy() for p in carried], 1)
-        del held, table
-        found = []
-        for leg in np.unique(routes & 31):
-            own = np.flatnonzero(routes & 31 == leg)
-            for j in legs[leg][1]:
-                of, b_index = nearby(segment(prints.T, j)[own])
-                of = own[of]
-                if bits:
-                    here = b_index >> (12 - bits) == routes[of] >> 17
-                    of, b_index = of[here], b_index[here]
-                keys = routes[of] << 12 | b_index
-                shared = repeated(keys)
-                found.append(bucket_edges(keys[shared], ids[of[shared]], prints[of[shared]], most))
-        edges = local_forest(np.concatenate(found))
+    def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return table.column(0).to_numpy().astype(np.int64), table["id"].to_numpy(), np.stack([table[p].to_numpy() for p in carried], 1)
+
+    def emitted(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        edges = local_forest(np.concatenate(found)) if found else []
         if len(edges):
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+            none = pa.nulls(len(edges), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(edges[:, 0]), pa.array(edges[:, 1]), *[none] * len(carried)], names=["finer", "id", "other", *carried])
 
-    fields = ", ".join(f"{p} bigint" for p in carried)
-    routed = prints.select("id", *carried).mapInArrow(route, f"route int, id bigint, {fields}").repartition("route")
-    return routed.mapInArrow(meet, "a bigint, b bigint").distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for flows, table in by_key(batches, hot):
+            routes, ids, prints = arrays(table)
+            if flows:
+                leg = int(routes[0]) & 31
+                for own, keys in finer_keys(pieces(prints), ({2 * legs[leg][0], 2 * legs[leg][0] + 1}, set())):
+                    finer = mixed((mixed(keys.astype(np.uint64)) ^ routes[own].astype(np.uint64))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(finer), pa.array(ids[own]), pa.nulls(len(own), pa.int64()), *(pa.array(prints[own, c]) for c in range(len(carried)))], names=["finer", "id", "other", *carried])
+                continue
+            found = []
+            for leg in np.unique(routes & 31):
+                own = np.flatnonzero(routes & 31 == leg)
+                for j in legs[leg][1]:
+                    of, b_index = nearby(segment(prints.T, j)[own])
+                    of = own[of]
+                    if bits:
+                        here = b_index >> (12 - bits) == routes[of] >> 17
+                        of, b_index = of[here], b_index[here]
+                    keys = routes[of] << 12 | b_index
+                    shared = repeated(keys)
+                    found.append(bucket_edges(keys[shared], ids[of[shared]], prints[of[shared]], most))
+            yield from emitted(found)
+
+    def meet_finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in by_key(batches, None):
+            yield from emitted([bucket_edges(*arrays(table), most)])
+
+    out = f"finer bigint, id bigint, other bigint, {fields}"
+    routed = prints.select("id", *carried).mapInArrow(route, f"route int, id bigint, {fields}").repartition(tasks, "route").sortWithinPartitions("route")
+    found = stored(routed.mapInArrow(meet, out), "near")
+    edges = found.where("finer is null")
+    if not found.where("finer is not null").isEmpty():
+        finer = found.where("finer is not null").select("finer", "id", *carried)
+        edges = edges.unionAll(stored(finer.repartition(max(tasks, finer.count() // ROWS_PER_TASK), "finer").sortWithinPartitions("finer").mapInArrow(meet_finer, out), "near"))
+    return edges.select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -326,11 +480,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DISTANCE) -> DataFrame:
     """id_col, duplicate_of: the documents that go, each with the one of its group that stays."""
-    prints = stored(fingerprints(docs.withColumn(id_col, F.col(id_col).cast("bigint")), id_col, text_col), "prints")
-    first = prints.groupBy(*PRINT).agg(F.min(F.struct("id", *SKETCH)).alias("first"))
-    distinct = stored(first.select(*PRINT, "first.*"), "distinct")
-    roots = components(near_pairs(distinct, most))
-    named = distinct.join(roots, "id", "left").select(*PRINT, F.coalesce("root", "id").alias("root"))
+    prints = stored(fingerprints(docs, id_col, text_col), "prints")
+    first = prints.groupBy(*PRINT).agg(F.min(F.struct("id", *SKETCH)).alias("first")).select(*PRINT, "first.*")
+    numbered = isinstance(docs.schema[id_col].dataType, IntegralType)
+    # numbers in the order of ids, so that the smallest number of a group is that of the smallest id
+    distinct = stored(first.withColumn("uid", F.col("id").cast("bigint")) if numbered else first.orderBy("id").withColumn("uid", F.monotonically_increasing_id()), "distinct")
+    roots = components(near_pairs(distinct.select(F.col("uid").alias("id"), *PRINT, *SKETCH), most)).select(F.col("id").alias("uid"), F.col("root").alias("root_uid"))
+    named = distinct.join(roots, "uid", "left").withColumn("root_uid", F.coalesce("root_uid", "uid"))
+    if numbered:
+        named = named.select(*PRINT, F.col("root_uid").cast(docs.schema[id_col].dataType).alias("root"))
+    else:
+        named = named.select(*PRINT, "root_uid").join(distinct.select(F.col("uid").alias("root_uid"), F.col("id").alias("root")), "root_uid").select(*PRINT, "root")
     all_rows = prints.select("id", *PRINT).join(named, PRINT).where("id <> root")
     return all_rows.select(F.col("id").alias(id_col), F.col("root").alias("duplicate_of")).distinct()
 
@@ -338,4 +498,4 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DISTANCE) -> DataFrame:
     """The rows, unchanged, without the documents that go."""
     gone = duplicates(docs, id_col, text_col, most).select(F.col(id_col).alias("gone"))
-    return docs.join(gone, docs[id_col].cast("bigint") == gone["gone"], "left_anti")
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")

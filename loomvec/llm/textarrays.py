@@ -17,13 +17,13 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-@lru_cache(1)
-def lower_table() -> np.ndarray:
-    """By code point: its lower-case form, a blank where it is no letter or mark. Forms
-    of several characters stay as they are."""
+@lru_cache(2)
+def lower_table(kinds: str = "LM") -> np.ndarray:
+    """By code point: its lower-case form, a blank where its category begins with none of
+    kinds, letters and marks where not told otherwise. Forms of several characters stay as they are."""
     lower = np.full(0x110000, BLANK, dtype=np.uint32)
     for c in range(0x110000):
-        if unicodedata.category(ch := chr(c))[0] in "LM":
+        if unicodedata.category(ch := chr(c))[0] in kinds:
             small = ch.lower()
             lower[c] = ord(small) if len(small) == 1 else c
     return lower
@@ -42,16 +42,16 @@ def text_slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int,
 
 
 class Words:
-    """The words of some texts, runs of letters and marks in lower case.
+    """The words of some texts, runs of letters and marks, or of other kinds, in lower case.
 
     chars: all texts one after another with a blank before, between and after them, and for
     all that is no letter; at: places of letters in chars; word_at: places in `at`
     where words begin; char_from, char_to: a word's range counted from all texts'
     start; text_at: the same of texts; text_words: where each text's words begin, with the end."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], kinds: str = "LM"):
         self.source = np.frombuffer(("\n".join(t or "" for t in texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        self.chars = np.concatenate([[np.uint32(BLANK)], lower_table()[self.source]])
+        self.chars = np.concatenate([[np.uint32(BLANK)], lower_table(kinds)[self.source]])
         letter = self.chars != BLANK
         self.at = np.flatnonzero(letter)
         self.word_at = np.flatnonzero(~letter[self.at - 1])

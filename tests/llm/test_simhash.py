@@ -1,5 +1,7 @@
 """SimHash keys, groups and verification beside brute force over all pairs."""
 
+import time
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,11 +109,86 @@ def test_a_forest_connects_what_all_pairs_connect():
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 46, (3, 4))
     prints = np.array([c ^ (np.int64(1) << rng.integers(0, 46, 4)) for c in centres for _ in range(60)])
-    edges = simhash.forest(prints, 8)
+    edges, rest = simhash.forest(prints, 8)
+    assert not len(rest)
     _, pairs = brute_pairs([(i, *p) for i, p in enumerate(prints.tolist())], 8)
     assert groups(edges) == groups(pairs)
 
 
+def unlike(rng, n, group=0):
+    """Made-up fingerprints with sketches that share one key of two segments; of `group` near copies at the end half are sure, half alike by sketch."""
+    prints = np.concatenate([rng.integers(0, 1 << 46, (n, 4)), rng.integers(0, 1 << 62, (n, 2))], axis=1)
+    prints[:, 0] = prints[0, 0]
+    for i in range(n - group, n):
+        other = prints[rng.integers(0, n - group) if i % 3 else n - group]
+        own = other.copy()
+        for bit in rng.permutation(184)[: simhash.SURE if i % 2 else 30]:
+            own[bit // 46] ^= np.int64(1) << (bit % 46)
+        slots = own[4:].view(np.uint8)
+        change = rng.permutation(16)[: 16 if i % 2 else 11]
+        slots[change] = rng.integers(1, 256, len(change))
+        prints[i] = own
+    return prints
+
+
+def test_finer_keys_lose_no_alike_pair():
+    rng = np.random.default_rng(12)
+    prints = unlike(rng, 900, 300)
+    prints[rng.permutation(900)[:200], 4] &= 0xFFFF  # texts of few triples
+    prints[rng.permutation(900)[:100], 4:] = 0
+    prints[rng.permutation(900)[:100], 5] = 0
+    _, pairs = brute_pairs([(i, *p) for i, p in enumerate(prints.tolist())], simhash.MAX_DISTANCE)
+    shared = [set() for _ in range(900)]
+    parts = simhash.pieces(prints)
+    assert simhash.constant(parts)[0] == {0, 1, 2, 3}
+    for dead in (simhash.constant(parts), (set(), set()), ({2, 3}, {7}), (set(range(8)), {1, 2, 3, 4})):
+        for mine in shared:
+            mine.clear()
+        for own, keys in simhash.finer_keys(parts, dead):
+            for i, k in zip(own.tolist(), keys.tolist()):
+                shared[i].add(k)
+        assert len(pairs) > 150 and all(shared[a] & shared[b] for a, b in pairs)
+    assert simhash.finer_keys(parts, (set(range(9)), set())) is None
+
+
+def test_unlike_members_of_a_hot_key():
+    """As many groups as by all pairs, and work in proportion to the members."""
+    rng = np.random.default_rng(13)
+    prints = unlike(rng, 3000, 600)
+    _, pairs = brute_pairs([(i, *p) for i, p in enumerate(prints.tolist())], simhash.MAX_DISTANCE)
+    assert groups(map(tuple, simhash.linked(prints, simhash.MAX_DISTANCE).tolist())) == groups(pairs)
+    took = []
+    for n in (10_000, 40_000):
+        prints = unlike(rng, n)
+        began = time.process_time()
+        assert len(simhash.linked(prints, simhash.MAX_DISTANCE)) < n / 100
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
+
+
+def test_a_key_too_hot_to_be_held(spark, monkeypatch):
+    """Rows of such a key go by finer keys to other tasks; the groups stay."""
+    prints = unlike(np.random.default_rng(14), 2500, 500)
+    rows = [(i, *p) for i, p in enumerate(prints.tolist())]
+    df = spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{c} bigint" for c in [*simhash.PRINT, *simhash.SKETCH]))
+    monkeypatch.setattr(simhash, "AT_ONCE", 100)
+    _, pairs = brute_pairs(rows, simhash.MAX_DISTANCE)
+    assert groups((r.a, r.b) for r in simhash.near_pairs(df, hot=300).collect()) == groups(pairs)
+
+
+def test_ids_of_any_type(spark):
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([("b", text), ("a", text), ("c", text + " 11"), ("d", "something else altogether it is")], "doc_id string, text string")
+    assert {(r.doc_id, r.duplicate_of) for r in simhash.duplicates(df).collect()} >= {("b", "a")}
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} >= {"a", "d"}
+
+
+def test_numbers_are_words():
+    p = simhash.fingerprint_slice(["order 123 of 456 was sent 789", "order 321 of 654 was sent 987", "1 2 3", "4 5 6"])
+    assert (p[0] != p[1]).any() and not np.array_equal(p[2], p[3])
+    assert simhash.alike(p[1:2], p[0], simhash.MAX_DISTANCE).tolist() == [False]
+
+
 def test_shared_words_are_no_copy():
     """The same words in another order are told apart by the sketch; an edited copy isn't."""
     rng = np.random.default_rng(8)
