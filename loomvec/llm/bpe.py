@@ -7,8 +7,11 @@ in NumPy, so repeated words cost no further merges. Decoding reverses the byte
 table, joins the bytes of all tokens and only then reads UTF-8, so a character
 split between tokens comes back whole.
 
+A vocabulary whose normaliser, pre-tokens or model are of another kind is refused: its ids
+would be others.
+
 Defined results: a null text gives null lists, n_tokens 0 and round_trip true;
-an empty text gives empty lists. Strings of special tokens are ordinary text.
+an empty text gives empty lists. Very long texts count whole; an empty table gives no rows. Strings of special tokens are ordinary text.
 Extra columns are ignored; repeated rows give repeated results."""
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from loomvec.llm.textarrays import text_slices
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bounds on a worker's store of encoded pre-tokens and on the characters taken at once; they change no result.
-STORE, SLICE = 400_000, 3_000_000
+#: Bounds on a worker's store of encoded pre-tokens and on the bytes taken at once; they change no result.
+STORE, SLICE = 400_000, 1_000_000
 
 ENCODED = "n_tokens int, token_ids array<int>, char_start array<int>, char_end array<int>, round_trip boolean"
 
@@ -49,6 +55,9 @@ class ByteBpe:
         self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if spec.get("normalizer") or model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path} is no plain byte-level BPE vocabulary")
         letters = byte_alphabet()
         vocabulary = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         special = {t["id"] for t in spec.get("added_tokens", [])}
@@ -104,6 +113,10 @@ class ByteBpe:
         bounds = np.concatenate([[0], np.cumsum(per_text)])
         return ids, np.diff(ends[bounds])
 
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """How many tokens each text has."""
+        return self.encode(texts)[1]
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the tokens, joined."""
         return gather(self.bytes, self.starts[ids], self.sizes[ids].astype(np.int64))
@@ -158,19 +171,6 @@ def encode_slice(bpe: ByteBpe, texts: list[str | None]) -> list[pa.Array]:
     return [pa.array(n.astype(np.int32)), *lists, pa.array(same)]
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about SLICE characters; a longer text is a range by itself."""
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if size and size + n > SLICE:
-            yield begin, i
-            begin, size = i, 0
-        size += n
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """id_col, n_tokens, token_ids, char_start, char_end and round_trip per row.
 
@@ -180,9 +180,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *encode_slice(bpe, texts[a:b])], names=names)
+            for a, b, texts in text_slices(batch.column(1), SLICE):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *encode_slice(bpe, texts)], names=names)
 
     chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = f"`{id_col}` {dict(chosen.dtypes)['id']}, {ENCODED}"
@@ -190,6 +189,21 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return chosen.mapInArrow(run, schema)
 
 
+def with_counts(docs: DataFrame, out_col: str, text_col: str = "text", path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """docs with the number of tokens of each text, 0 for null."""
+    at = docs.columns.index(text_col)
+    schema = docs.withColumn(out_col, F.lit(0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(path)
+        for batch in batches:
+            for a, b, texts in text_slices(batch.column(at), SLICE):
+                n = pa.array(bpe.counts([t or "" for t in texts]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, n], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """id_col and text. Null ids give a null text; bytes that form no character
     become U+FFFD; an id outside the vocabulary is an error."""

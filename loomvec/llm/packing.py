@@ -16,20 +16,24 @@ The dominance used, for any remaining length w with room r = capacity - w:
     together in r, no bin holds w with more than one other, and x dominates every other
     choice;
   * if only pairs of others can fit beside it, no three, and x is at least as long
-    as any such pair's sum, x dominates the pairs too.
+    as any such pair's sum, x dominates the pairs too;
+  * if only pairs can fit, let y be the longest that fits beside w and x. Where no two others that are both
+    longer than y fit beside w, every pair is dominated by x and y, and the three lie together.
 Each keeps some optimal packing reachable, so the reduction never costs a bin.
 
 Documents longer than the capacity are cut into full sequences, which are bins of
-their own, and a rest. Lengths are counts of white-space tokens by default.
+their own, and a rest. Lengths are counts of white-space tokens by default; any column of counts may be
+given, as the pipeline gives those of byte-level BPE.
 
 Defined results: null and empty texts, and those of no tokens, take no bin and
-have no row; a null id is an id like another; rows that repeat are placed each;
+have no row, nor do lengths that are null or negative; a null id is an id like another; rows that repeat are placed each;
 equal lengths are placed by id. Extra columns are ignored; an empty table gives no
 rows."""
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,12 +78,6 @@ class Lengths:
             self.order.remove(w)
         return first
 
-    def longest_up_to(self, room: int, but: int | None = None) -> int | None:
-        """The longest that fits, other than one of length `but`."""
-        i = bisect_left(self.order, room + 1)
-        i -= bool(i) and self.order[i - 1] == but
-        return self.order[i - 1] if i else None
-
     def shortest(self, k: int, less: int | None = None) -> list[int]:
         """The k shortest, without one document of length `less`."""
         out: list[int] = []
@@ -89,6 +87,22 @@ class Lengths:
                 break
         return out
 
+    def longest_beside(self, room: int, used: Counter) -> int | None:
+        """The longest that fits when so many of each length are used."""
+        for i in range(bisect_left(self.order, room + 1) - 1, -1, -1):
+            if self.n[self.order[i]] > used[self.order[i]]:
+                return self.order[i]
+        return None
+
+    def two_above(self, y: int, used: Counter) -> int | None:
+        """The least sum of two documents longer than y when so many of each length are used."""
+        out: list[int] = []
+        for w in self.order[bisect_left(self.order, y + 1) :]:
+            out += [w] * min(2 - len(out), self.n[w] - used[w])
+            if len(out) == 2:
+                return sum(out)
+        return None
+
     def best_pair(self, room: int, without: int) -> int:
         """The largest sum of two documents that fits, besides one of length `without`; 0 if none does."""
         best, i, j = 0, 0, bisect_left(self.order, room + 1) - 1
@@ -106,20 +120,26 @@ class Lengths:
         return best
 
 
-def dominant(lengths: Lengths, w: int, room: int) -> tuple[int, int] | None:
-    """The other document that dominates all that could lie beside one of length w, 0 for
-    none, and in how many bins alike; None where no dominance holds."""
-    n = lengths.n[w]
-    x = lengths.longest_up_to(room, w if n == 1 else None)
-    if x is None:
-        return 0, n
-    if x < room:
+def dominant(lengths: Lengths, w: int, room: int) -> tuple[tuple[int, ...], int] | None:
+    """The others that dominate all that could lie beside one of length w, longest first,
+    and in how many bins alike; None where no dominance holds."""
+    x = lengths.longest_beside(room, Counter((w,)))
+    others: tuple[int, ...] = () if x is None else (x,)
+    if x is not None and x < room:
         two = lengths.shortest(2, w)
         if len(two) == 2 and sum(two) <= room:
             three = lengths.shortest(3, w)
-            if (len(three) == 3 and sum(three) <= room) or lengths.best_pair(room, w) > x:
+            if len(three) == 3 and sum(three) <= room:
                 return None
-    return x, min(n, lengths.n[x]) if x != w else n // 2
+            if lengths.best_pair(room, w) > x:
+                y = lengths.longest_beside(room - x, Counter((w, x)))
+                if y is None:
+                    return None
+                above = lengths.two_above(y, Counter((w, x)))
+                if above is not None and above <= room:
+                    return None
+                others = (x, y)
+    return others, min(lengths.n[v] // c for v, c in Counter((w, *others)).items())
 
 
 def reduce(lengths: Lengths, capacity: int, next_bin: int = 0) -> tuple[list[Run], int]:
@@ -131,13 +151,11 @@ def reduce(lengths: Lengths, capacity: int, next_bin: int = 0) -> tuple[list[Run
         changed = False
         for w in reversed(list(lengths.order)):
             while w in lengths.n and (found := dominant(lengths, w, capacity - w)):
-                x, many = found
-                if x == w:
-                    runs.append(Run(w, lengths.take(w, 2 * many), 2, next_bin, many, 0, True))
-                else:
-                    runs.append(Run(w, lengths.take(w, many), 1, next_bin, many, 0, True))
-                    if x:
-                        runs.append(Run(x, lengths.take(x, many), 1, next_bin, many, w, True))
+                others, many = found
+                offset = 0
+                for v, c in Counter((w, *others)).items():
+                    runs.append(Run(v, lengths.take(v, c * many), c, next_bin, many, offset, True))
+                    offset += c * v
                 next_bin += many
                 changed = True
     return runs, next_bin

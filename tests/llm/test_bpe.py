@@ -6,6 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import pytest
+
 from loomvec.llm import bpe
 
 
@@ -63,3 +65,12 @@ def test_split_character_and_specials():
     n, ids, start, end, same = bpe.encode_slice(table, ["\U0001f9ff <|endoftext|>"])
     assert same.to_pylist() == [True] and 50256 not in ids.to_pylist()[0]
     assert start.to_pylist()[0][:2] == [0, 0]  # one character, several tokens
+
+
+def test_counts_and_other_vocabularies(spark):
+    df = spark.createDataFrame([(1, "some words here", 3), (2, None, 4), (3, "", 5), (4, "é" * 2_000_000, 6)], "doc_id bigint, text string, n_tokens int")
+    expected = {r.doc_id: r.n_tokens for r in bpe.encode(df.drop("n_tokens")).collect()}
+    rows = bpe.with_counts(df, "n").collect()
+    assert {r.doc_id: r.n for r in rows} == expected and [r.n_tokens for r in rows] == [3, 4, 5, 6]
+    with pytest.raises(ValueError, match="no plain byte-level"):
+        bpe.ByteBpe("/opt/tokenizers/word_bpe_49k.json")

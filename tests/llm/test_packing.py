@@ -73,6 +73,22 @@ def check(docs, rows, capacity):
     return len(bins), sum(tokens.values())
 
 
+def test_the_three_of_a_bin_are_fixed():
+    """Only pairs fit beside the longest, and the best of them has the longest partner."""
+    for items, capacity, bins in (([5, 3, 2], 10, 1), ([4, 4, 4] * 5, 12, 5), ([6, 3, 3] * 4, 12, 4), ([9, 6, 5, 5, 9, 6, 5, 5], 20, 3)):
+        left = packing.Lengths(Counter(items))
+        runs, fixed = packing.reduce(left, capacity)
+        assert fixed + fewest([w for w, n in left.n.items() for _ in range(n)], capacity) == fewest(items, capacity) == bins
+    assert [packing.reduce(packing.Lengths(Counter(x)), 10)[1] for x in ([5, 3, 2], [5, 5, 5])] == [1, 2]
+
+
+def test_given_lengths(spark):
+    """A column of counts takes the place of words; null, zero and negative ones take no bin."""
+    df = spark.createDataFrame([(1, 5), (2, None), (3, -4), (4, 0), (5, 23), (6, 3), (6, 3)], "doc_id bigint, size bigint")
+    rows = packing.pack(df, capacity=10, length=df["size"]).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == [(1, 5), (5, 3), (5, 10), (5, 10), (6, 3), (6, 3)]
+
+
 def test_documents(small):
     docs = small("documents")
     bins, tokens = check(docs, packing.pack(docs).collect(), packing.CAPACITY)

@@ -1,9 +1,12 @@
 """The pipeline's stages, each on its own input, and the queries' registration."""
 
+from collections import Counter, defaultdict
+
 import __spark_entry__
 import corpus_pipeline
+from tokenizers import Tokenizer
 
-from loomvec.llm import language, simhash, toxicity
+from loomvec.llm import bpe, language, packing, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,6 +41,48 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_planted_cases_and_odd_rows(spark, tmp_path):
+    """What stays, by what was planted, and its places by the tokenizers library."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    base = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    prose = [t for _, t, _ in base if len(t) > 3000][:6]
+    cut = [t[200:1700] for t in prose]
+    insult = " You stupid pathetic idiot, worthless moron and disgusting loser. "
+    first = 1_000_000
+    planted = {
+        first: cut[0] + insult + cut[0][::-1],  # toxic
+        first + 1: "\u0000 \u2026 123 !!",  # no letters
+        first + 2: None,
+        first + 3: "",
+        first + 4: "xqzv " * 40 + "qqzx kvvw " * 200,  # no language
+        first + 5: " ".join(" ".join(cut[1].split()[i % 200 :]) for i in range(0, 600, 3)),  # very long
+        first + 6: cut[2],
+        first + 7: cut[2],  # an exact copy
+        first + 8: cut[2].replace(" the ", " ").replace(".", ""),  # a near copy
+    }
+    rows = base + [(i, t, "en" if t else None) for i, t in planted.items()] + [(first + 9, cut[3], "en")] * 2 + [(None, cut[4], None)]
+    wide = [(i, t, x, "s", len(t or ""), 1, 2, "x", 3, 4) for i, t, x in rows]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, bin_id int, spans string, gone int, uid bigint"
+    spark.createDataFrame(wide, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in packed}
+    assert kept & set(range(first, first + 10)) == {first + 5, first + 6, first + 9} and None in kept
+    library = Tokenizer.from_file(bpe.DEFAULT_VOCABULARY)
+    tokens, bins = Counter(), defaultdict(list)
+    for r in packed:
+        tokens[r.doc_id] += r.n_tokens
+        bins[r.bin_id].append((r.bin_offset, r.bin_offset + r.n_tokens))
+    text = {i: t for i, t, _ in rows}
+    some = [i for i in sorted(kept - {None})[::9]] + [first + 5, first + 6]
+    assert all(tokens[i] == len(library.encode(text[i]).ids) for i in some)
+    assert tokens[first + 9] == 2 * len(library.encode(cut[3]).ids)
+    for spans in bins.values():
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] <= packing.CAPACITY and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_eleven_queries_are_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
