@@ -1,14 +1,20 @@
 """The training-data pipeline over documents: toxic documents go, then those without
 an identified language, then all but one of each group of near duplicates; what
-stays is packed into sequences."""
+stays is packed into sequences.
+
+Defined results: documents with a null or empty text, or one without letters, go at the language
+stage; rows with a null id are documents like others but never near duplicates; rows that share an id stay or go
+together at the third stage and are packed each; extra columns are kept till the last stage, whatever their names; an
+empty table gives no rows."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomvec.llm import language, packing, simhash, toxicity
+from loomvec.llm import bpe, language, packing, simhash, toxicity
 from loomvec.session import shared_dir
 
 #: Viterbi and packing can't be said in SQL; tests compare the stages with brute force.
@@ -32,8 +38,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every document in sequences of packing.CAPACITY tokens."""
-    return packing.pack(docs)
+    """The place of every document in sequences of packing.CAPACITY tokens of byte-level BPE."""
+    sized = bpe.with_counts(docs.select("doc_id", "text"), "size").drop("text")
+    return packing.pack(sized, length=F.col("size"))
 
 
 STAGES = [("toxicity", without_toxic), ("language", with_language), ("near duplicates", without_copies), ("packing", packed)]
