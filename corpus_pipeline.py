@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomvec.llm import bpe, language, packing, simhash, toxicity
-from loomvec.session import shared_dir
+from loomvec.session import remove, scratch, shared_dir
 
 #: Viterbi and packing can't be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -47,10 +47,13 @@ STAGES = [("toxicity", without_toxic), ("language", with_language), ("near dupli
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents; each stage's result is written to the shared folder and read by the next."""
+    """STAGES over documents; each stage's result is written to the shared folder and read by the next, then removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/loomvec/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         docs = spark.read.parquet(f"{base}/{i}")
+        if i:
+            remove(spark, f"{base}/{i - 1}")
     return docs

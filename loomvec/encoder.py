@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from loomvec.functions.vectors import col
 
+#: What a word is: a run of letters of any script.
+WORD = r"\p{L}+"
 KINDS = ("dense", "multi", "sparse", "patch", "forecast")
 
 
@@ -30,8 +32,8 @@ class Encoder(Protocol):
 
 
 def words(text: Column | str) -> Column:
-    """The runs of a to z of the text in lower case; other letters part words."""
-    return F.regexp_extract_all(F.lower(col(text)), F.lit("([a-z]+)"), F.lit(1))
+    """The runs of letters of the text in lower case."""
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(f"({WORD})"), F.lit(1))
 
 
 def hash_value(word: Column, dim: int) -> Column:
@@ -56,21 +58,37 @@ class HashEncoder:
         if self.kind == "multi":
             return df.withColumn(out_col, self.token_vectors(found))
         if self.kind == "sparse":
-            places = F.transform(found, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(self.dimension)))
-            distinct = F.array_sort(F.array_distinct(places))
-            weight = lambda i: F.log1p(F.size(F.filter(places, lambda p: p == i)).cast("double"))
-            return df.withColumn(out_col, F.transform(distinct, lambda i: F.struct(i.alias("index"), weight(i).alias("weight"))))
-        listed = f"_{out_col}_words"
-        schema = df.drop(out_col).withColumn(out_col, F.lit(None).cast("array<double>")).schema
+            return _mapped(df, found, out_col, "array<struct<index:bigint,weight:double>>", lambda lists, known: counted_places(lists, self.dimension, known))
+        return _mapped(df, F.array_distinct(found), out_col, "array<double>", lambda lists, known: mean_vectors(lists, self.dimension, known))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[str, np.ndarray] = {}
-            for batch in batches:
-                lists = batch.column(batch.num_columns - 1)
-                vectors = mean_vectors(lists, self.dimension, known)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=schema.names)
 
-        return df.withColumn(listed, F.array_distinct(found)).drop(out_col).mapInArrow(run, schema)
+def _mapped(df: DataFrame, listed: Column, out_col: str, kind: str, encode) -> DataFrame:
+    """df with encode(word lists, a store of words seen) as out_col."""
+    schema = df.drop(out_col).withColumn(out_col, F.lit(None).cast(kind)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], encode(batch.column(batch.num_columns - 1), known)], names=schema.names)
+
+    return df.withColumn(f"_{out_col}_words", listed).drop(out_col).mapInArrow(run, schema)
+
+
+def counted_places(lists: pa.ListArray, dimension: int, known: dict[str, int]) -> pa.Array:
+    """(index, ln(1 + count)) of each list's words hashed to `dimension` places, in order of index."""
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = lists.flatten().dictionary_encode()
+    own = found.dictionary.to_pylist()
+    if len(known) > 1_000_000:
+        known.clear()
+    for w in own:
+        if w not in known:
+            known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimension
+    table = np.array([known[w] for w in own], dtype=np.int64)
+    keys, counts = np.unique(np.repeat(np.arange(len(n)), n) * dimension + table[found.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(keys // dimension, minlength=len(n)))]).astype(np.int32)
+    inner = pa.StructArray.from_arrays([pa.array(keys % dimension), pa.array(np.log1p(counts))], names=["index", "weight"])
+    return pa.ListArray.from_arrays(pa.array(offsets), inner, mask=lists.is_null())
 
 
 def mean_vectors(lists: pa.ListArray, dimension: int, known: dict[str, np.ndarray]) -> pa.Array:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomvec.errors import ConfigError
@@ -26,6 +26,31 @@ def scale_by_mean(v: Column | str) -> Column:
     return F.struct(F.transform(doubles(v), lambda x: x / scale).alias("scaled"), scale.alias("scale"))
 
 
+def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The rows with pos, from 0 in order, and n, the length of their series."""
+    own = Window.partitionBy(key)
+    return rows.withColumn("pos", F.row_number().over(own.orderBy(*order)) - 1).withColumn("n", F.count("*").over(own).cast("int"))
+
+
+def scaled_rows(rows: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """The rows of series with scaled: each value by the mean absolute value of its series, and a little."""
+    return rows.withColumn("scaled", F.col(value) / (F.avg(F.abs(value)).over(Window.partitionBy(key)) + 1e-10))
+
+
+def patch_rows(rows: DataFrame, size: int) -> DataFrame:
+    """Numbered rows with patch and pos in the patch; the last n % size of a series are left out."""
+    whole = rows.where(F.col("pos") < F.col("n") - F.col("n") % size)
+    return whole.withColumn("patch", F.expr(f"cast(pos div {size} as int)")).withColumn("pos", F.col("pos") % size)
+
+
+def tail_rows(rows: DataFrame, key: str, n: int, *order: str) -> DataFrame:
+    """The last n rows of every series with so many, with pos from 0. Spark cuts each partition to n a series before the shuffle."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))
+    last = rows.withColumn("_back", back).where(F.col("_back") <= n)
+    whole = last.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where(F.col("_n") == n)
+    return whole.withColumn("pos", F.lit(n) - F.col("_back")).drop("_back", "_n")
+
+
 def patches(v: Column | str, size: int) -> Column:
     """Consecutive pieces of `size`; an error unless the length divides."""
     return reshape(v, size)

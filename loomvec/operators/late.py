@@ -39,25 +39,39 @@ def maxsim_knn(queries: DataFrame, corpus: DataFrame, k: int, binary: bool = Fal
     """query, doc, score, rank: the k best documents of every query by maxsim, by its
     quantised form on sign bits (binary), or by maxpair_cosine (pair).
 
-    The queries' tokens go out in blocks of at most BLOCK_BYTES, a row each, joined with every
-    partition of the corpus; products are matrix products over a batch, and each
+    Queries of at most BLOCK_BYTES of tokens are sent to every task; more are dealt into blocks of that
+    size, each joined with shards of the corpus. Products are matrix products over a batch, and each
     batch keeps k documents a query. Empty and null token lists are left out."""
     queries = queries.where(F.size(q_tokens) > 0).select(F.col(query).cast("bigint").alias(query), matrix(q_tokens).alias("q"))
     corpus = corpus.where(F.size(d_tokens) > 0).select(F.col(doc).cast("bigint").alias(doc), matrix(d_tokens).alias("d"))
-    schema = f"`{query}` bigint, `{doc}` bigint, score double"
+    schema, names = f"`{query}` bigint, `{doc}` bigint, score double", [query, doc, "score"]
     size = queries.agg(F.sum(F.size("q").cast("bigint") * F.size(F.element_at("q", 1)) * 8)).first()[0]
     if not size:
         return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    parts = queries.withColumn("block", F.pmod(F.xxhash64(query), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        table = parts.where(F.col("block") == b).select(query, "q").toArrow().combine_chunks()
-        if table.num_rows:
-            held = queries.sparkSession.sparkContext.broadcast((table[query].to_numpy(), *_tokens(table["q"].combine_chunks(), binary, pair)))
-            own = corpus.mapInArrow(_scorer(held, k, binary, pair, exclude_same, [query, doc, "score"]), schema)
-            found = own if found is None else found.unionAll(own)
-    return top_k(found, k, query, doc)
+    score = _scorer(k, binary, pair, exclude_same, names)
+    if size <= BLOCK_BYTES:
+        table = queries.toArrow().combine_chunks()
+        held = queries.sparkSession.sparkContext.broadcast((table[query].to_numpy(), *_tokens(table["q"].combine_chunks(), binary, pair)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from score(held.value, batch)
+
+        return top_k(corpus.mapInArrow(run, schema), k, query, doc)
+    blocks = -(-size // BLOCK_BYTES)
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    parts = queries.withColumn("block", F.pmod(F.xxhash64(query), F.lit(blocks))).withColumn("shard", every)
+    shards = corpus.withColumn("shard", F.pmod(F.xxhash64(doc), F.lit(blocks))).withColumn("block", every)
+
+    def meet(q: pa.Table, d: pa.Table) -> pa.Table:
+        out = pa.schema([(query, pa.int64()), (doc, pa.int64()), ("score", pa.float64())])
+        if not q.num_rows or not d.num_rows:
+            return out.empty_table()
+        q = q.combine_chunks()
+        own = q[query].to_numpy(), *_tokens(q["q"].combine_chunks(), binary, pair)
+        return pa.Table.from_batches([x for batch in d.select([doc, "d"]).to_batches() for x in score(own, batch)], out)
+
+    return top_k(parts.groupBy("block", "shard").cogroup(shards.groupBy("block", "shard")).applyInArrow(meet, schema), k, query, doc)
 
 
 def _tokens(column: pa.Array, binary: bool, unit: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -74,27 +88,26 @@ def _tokens(column: pa.Array, binary: bool, unit: bool) -> tuple[np.ndarray, np.
     return (np.where(rows >= 0, 1.0, -1.0) if binary else rows), np.cumsum(sizes) - sizes
 
 
-def _scorer(held, k: int, binary: bool, pair: bool, exclude_same: bool, names: list[str]):
+def _scorer(k: int, binary: bool, pair: bool, exclude_same: bool, names: list[str]):
     fold = np.maximum if pair else np.add
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_id, q, q_at = held.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                d, d_at = _tokens(part.column(1), binary, pair)
-                if d.shape[1] != q.shape[1]:
-                    raise DimensionMismatch(q.shape[1], d.shape[1])
-                products = q @ d.T
-                if binary:
-                    products = (products + q.shape[1]) / 2
-                scores = fold.reduceat(np.maximum.reduceat(products, d_at, axis=1), q_at, axis=0)
-                ids = np.broadcast_to(part.column(0).to_numpy(), scores.shape)
-                if exclude_same:
-                    scores[q_id[:, None] == ids] = -np.inf
-                order = np.lexsort((ids, -scores), axis=1)[:, :k]
-                ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-                keep = scores > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, keep.sum(1))), pa.array(ids[keep]), pa.array(scores[keep])], names=names)
+    def run(held: tuple, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        q_id, q, q_at = held
+        for a in range(0, batch.num_rows, 512):
+            part = batch.slice(a, 512)
+            d, d_at = _tokens(part.column(1), binary, pair)
+            if d.shape[1] != q.shape[1]:
+                raise DimensionMismatch(q.shape[1], d.shape[1])
+            products = q @ d.T
+            if binary:
+                products = (products + q.shape[1]) / 2
+            scores = fold.reduceat(np.maximum.reduceat(products, d_at, axis=1), q_at, axis=0)
+            ids = np.broadcast_to(part.column(0).to_numpy(), scores.shape)
+            if exclude_same:
+                scores[q_id[:, None] == ids] = -np.inf
+            order = np.lexsort((ids, -scores), axis=1)[:, :k]
+            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+            keep = scores > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, keep.sum(1))), pa.array(ids[keep]), pa.array(scores[keep])], names=names)
 
     return run

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from pickle import loads
 
 import numpy as np
@@ -18,9 +19,26 @@ def relu(x: np.ndarray) -> np.ndarray:
     return np.maximum(x, 0)
 
 
+@lru_cache(1)
+def erf_table() -> tuple[np.ndarray, np.ndarray]:
+    """The error function and its slope at steps of 1/512 from 0 to 6."""
+    x = np.arange(6 * 512 + 2) / 512
+    return np.array([math.erf(v) for v in x]), 2 / math.sqrt(math.pi) * np.exp(-x * x) / 512
+
+
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function within 1e-12, by cubic interpolation of a table."""
+    value, slope = erf_table()
+    at = np.minimum(np.abs(x), 6.0) * 512
+    i = at.astype(np.int64)
+    t = at - i
+    a, b, c, d = value[i], slope[i], value[i + 1], slope[i + 1]
+    return np.copysign(a + t * (b + t * (3 * (c - a) - 2 * b - d + t * (b + d - 2 * (c - a)))), x)
+
+
 def gelu(x: np.ndarray) -> np.ndarray:
     """By the error function."""
-    return x * 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(x / math.sqrt(2)))
+    return x * 0.5 * (1 + erf(x / math.sqrt(2)))
 
 
 def layer_norm(x: np.ndarray, weight: np.ndarray, bias: np.ndarray, eps: float = 1e-12) -> np.ndarray:

@@ -18,6 +18,8 @@ from loomvec.errors import ConfigError, DimensionMismatch
 
 #: Bytes of a broadcast side at most.
 BROADCAST_BYTES = 256 << 20
+#: Bytes that a row of a query counts as.
+ROW_BYTES = 64 << 10
 METRICS = ("dot", "cosine", "euclidean", "hamming")
 
 
@@ -29,8 +31,11 @@ def top_k(scored: DataFrame, k: int, query: str = "qid", doc: str = "did", score
 
 
 def pairs(queries: DataFrame, corpus: DataFrame, score: Column) -> DataFrame:
-    """Every query with every document and its score."""
-    return corpus.crossJoin(queries).withColumn("score", score)
+    """Every query with every document and its score, where all pairs are the result; for the best of them there is knn.
+
+    The queries are sent to every task where their number times ROW_BYTES is at most BROADCAST_BYTES; beyond, partitions are joined with partitions."""
+    small = queries.limit(BROADCAST_BYTES // ROW_BYTES + 1).count() * ROW_BYTES <= BROADCAST_BYTES
+    return corpus.crossJoin(F.broadcast(queries) if small else queries.hint("shuffle_replicate_nl")).withColumn("score", score)
 
 
 def _rows(column: pa.Array, width: int | None = None) -> np.ndarray:
@@ -57,8 +62,8 @@ def similarity(queries: np.ndarray, docs: np.ndarray, metric: str) -> np.ndarray
     raise ConfigError(f"metric {metric!r} isn't one of {', '.join(METRICS)}")
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", vector: str = "embedding", query: str = "qid", doc: str = "did", exclude_same: bool = False) -> DataFrame:
-    """query, doc, score, rank: the k best documents of each query.
+def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", vector: str = "embedding", query: str = "qid", doc: str = "did", exclude_same: bool = False, digits: int | None = None) -> DataFrame:
+    """query, doc, score, rank: the k best documents of each query, by scores rounded to `digits` where given.
 
     Queries whose vectors fit BROADCAST_BYTES are sent to every task as a matrix;
     more are dealt into blocks of that size, each joined with the corpus. Rows with a null id or vector are left out."""
@@ -71,7 +76,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", v
     if not n:
         return queries.sparkSession.createDataFrame([], schema + ", rank int")
     if n * width * 8 > BROADCAST_BYTES:
-        return top_k(_blocked(queries, corpus, n * width * 8, k, metric, vector, query, doc, exclude_same), k, query, doc)
+        return top_k(_blocked(queries, corpus, n * width * 8, k, metric, vector, query, doc, exclude_same, digits), k, query, doc)
     table = queries.toArrow().combine_chunks()
     held = queries.sparkSession.sparkContext.broadcast((table[query].to_numpy(), _rows(table[vector].chunk(0) if table[vector].num_chunks else table[vector].combine_chunks(), width)))
 
@@ -81,17 +86,19 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", v
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                best = _fold(best, q_id, q, part.column(0).to_numpy(), _rows(part.column(1), q.shape[1]), k, metric, exclude_same)
+                best = _fold(best, q_id, q, part.column(0).to_numpy(), _rows(part.column(1), q.shape[1]), k, metric, exclude_same, digits)
         if best is not None:
             yield _emit(q_id, *best, names=[query, doc, "score"])
 
     return top_k(corpus.mapInArrow(run, schema), k, query, doc)
 
 
-def _fold(best, q_id, q, d_id, d, k, metric, exclude_same):
+def _fold(best, q_id, q, d_id, d, k, metric, exclude_same, digits):
     """The k best of what was best and of a further batch."""
     step = len(q) if metric != "euclidean" else max(1, (8 << 20) // max(1, d.size))
     scores = np.concatenate([similarity(q[i : i + step], d, metric) for i in range(0, len(q), step)]) + 0.0
+    if digits is not None:
+        scores = np.round(scores, digits) + 0.0
     if exclude_same:
         scores[q_id[:, None] == d_id[None, :]] = -np.inf
     ids = np.broadcast_to(d_id, scores.shape)
@@ -113,7 +120,8 @@ def _emit(q_id: np.ndarray, ids: np.ndarray, scores: np.ndarray, names: list[str
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, keep.sum(1))), pa.array(ids[keep]), pa.array(scores[keep])], names=names)
 
 
-def _blocked(queries, corpus, size, k, metric, vector, query, doc, exclude_same):
+def _blocked(queries, corpus, size, k, metric, vector, query, doc, exclude_same, digits):
+    # exact search meets all pairs of blocks: each side travels once for each block of the other
     blocks = -(-size // (BROADCAST_BYTES // 16))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
     parts = queries.withColumn("block", F.pmod(F.xxhash64(query), F.lit(blocks))).withColumn("shard", every)
@@ -127,7 +135,7 @@ def _blocked(queries, corpus, size, k, metric, vector, query, doc, exclude_same)
         best = None
         for a in range(0, d.num_rows, 2048):
             part = d.slice(a, 2048)
-            best = _fold(best, q_id, rows, part[doc].to_numpy(), _rows(part[vector].combine_chunks(), rows.shape[1]), k, metric, exclude_same)
+            best = _fold(best, q_id, rows, part[doc].to_numpy(), _rows(part[vector].combine_chunks(), rows.shape[1]), k, metric, exclude_same, digits)
         return pa.Table.from_batches([_emit(q_id, *best, names=[query, doc, "score"])])
 
     return parts.groupBy("block", "shard").cogroup(shards.groupBy("block", "shard")).applyInArrow(run, f"`{query}` bigint, `{doc}` bigint, score double")

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomvec.encoder import WORD
 from loomvec.functions.sequences import sparsity
+from loomvec.operators import retrieval
+
+#: Bytes of a matrix of queries that is sent to every task, and documents scored at once.
+MATRIX_BYTES, DOCS = 128 << 20, 512
 
 
-def term_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = "[a-z]+") -> DataFrame:
+def term_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = WORD) -> DataFrame:
     """doc, term, weight: ln(1 + count) of the words of a text. Words count one at a time, so no document's list is held."""
     words = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(f"({pattern})"), F.lit(1))).alias("term"))
     return words.groupBy("doc_id", "term").agg(F.log1p(F.count("*").cast("double")).alias("weight"))
@@ -30,6 +41,63 @@ def dot_pairs(queries: DataFrame, docs: DataFrame, key: str = "term") -> DataFra
     return q.join(d, key).groupBy("qid", "did").agg(F.sum(F.col("qw") * F.col("dw")).alias("score"))
 
 
+def knn(queries: DataFrame, docs: DataFrame, k: int, digits: int | None = None, key: str = "term") -> DataFrame:
+    """qid, did, score, rank: the k best documents of every query among those that share an index with it,
+    by scores rounded to `digits` where given.
+
+    The queries' weights, as a matrix of their indices, are sent to every task where that is at most MATRIX_BYTES;
+    the documents' weights of these indices are brought together by document, and products of matrices keep k
+    documents a query before any shuffle, so a frequent word is no hot key. More queries are joined by index."""
+    q = queries.select(F.col("doc_id").alias("qid"), key, F.col("weight").cast("double").alias("w")).where(F.col(key).isNotNull())
+    n, terms = q.agg(F.count_distinct("qid"), F.count_distinct(key)).first()
+    schema = "qid bigint, did bigint, score double"
+    if not n:
+        return queries.sparkSession.createDataFrame([], schema + ", rank int")
+    if n * terms * 8 > MATRIX_BYTES:
+        scored = dot_pairs(queries, docs, key)
+        return retrieval.top_k(scored if digits is None else scored.withColumn("score", F.round("score", digits)), k)
+    table = q.groupBy("qid", key).agg(F.sum("w").alias("w")).toArrow()
+    ids, row = np.unique(table["qid"].to_numpy(), return_inverse=True)
+    words = table[key].combine_chunks().dictionary_encode()
+    weights = np.zeros((len(words.dictionary), len(ids)))
+    weights[words.indices.to_numpy(), row] = table["w"].to_numpy()
+    held = queries.sparkSession.sparkContext.broadcast((ids, words.dictionary, weights))
+    known = q.select(key).distinct()
+    own = docs.join(F.broadcast(known), key, "left_semi").select(F.col("doc_id").cast("bigint").alias("did"), key, F.col("weight").cast("double").alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_id, vocabulary, matrix = held.value
+        shared = (matrix != 0).astype(np.float64)
+        rest = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if rest is None or not rest.num_rows:
+                continue
+            did = rest["did"].to_numpy()
+            end = len(did) if batch is None else int(np.searchsorted(did, did[-1]))  # the last document may go on
+            docs_at = np.flatnonzero(np.diff(did[:end], prepend=did[0] - 1)) if end else np.zeros(0, np.int64)
+            for a in range(0, len(docs_at), DOCS):
+                stop = int(docs_at[a + DOCS]) if a + DOCS < len(docs_at) else end
+                part = rest.slice(int(docs_at[a]), stop - int(docs_at[a]))
+                d_id, at = np.unique(part["did"].to_numpy(), return_inverse=True)
+                place = pc.index_in(part[key], vocabulary).to_numpy()
+                rows = np.zeros((len(d_id), len(matrix)))
+                np.add.at(rows, (at, place), part["w"].to_numpy())
+                scores = (rows @ matrix).T
+                if digits is not None:
+                    scores = np.round(scores, digits) + 0.0
+                scores[((rows != 0) @ shared).T == 0] = -np.inf
+                order = np.lexsort((np.broadcast_to(d_id, scores.shape), -scores), axis=1)[:, :k]
+                best = np.take_along_axis(scores, order, 1)
+                keep = best > -np.inf
+                yield pa.RecordBatch.from_pydict({"qid": np.repeat(q_id, keep.sum(1)), "did": d_id[order][keep], "score": best[keep]})
+            rest = rest.slice(end)
+
+    found = own.repartition("did").sortWithinPartitions("did").mapInArrow(run, schema)
+    return retrieval.top_k(found, k)
+
+
 def statistics(weights: DataFrame, vocab_size: int, doc: str = "doc_id") -> DataFrame:
     """doc, nnz, sparsity, density, least and greatest weight."""
     out = weights.groupBy(doc).agg(F.count("*").alias("nnz"), F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight"))

@@ -37,7 +37,7 @@ def query(sql: str | None = None):
     return register
 
 
-# --- dense vectors ---------------------------------------------------------
+# dense vectors
 
 V = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 PAIRS = f"SELECT q.vec_id AS qid, d.vec_id AS did, {{}} AS score FROM ({V}) q, ({V}) d"
@@ -154,7 +154,7 @@ def linear_projection(spark, sf_dir):
     return long_form(neural.apply_rows(vectors(spark, sf_dir), "v", neural.Linear(np.array(WEIGHTS)), "w"), "w", "x", "vec_id")
 
 
-# --- token matrices --------------------------------------------------------
+# token matrices
 
 TOKENS = "SELECT vec_id // 8 AS doc_id, CAST(vec_id % 8 AS INTEGER) AS tok_pos, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN (vec_id // 8) % 2 = 1 AND vec_id % 8 >= 6 THEN 0 ELSE 1 END AS mask FROM embeddings"
 ELEMENTS = f"SELECT doc_id, tok_pos, mask, unnest(v) AS x, CAST(unnest(range(len(v))) AS INTEGER) AS pos FROM ({TOKENS})"
@@ -224,10 +224,10 @@ def mask_counts(spark, sf_dir):
     return d.select("doc_id", sq.valid_tokens("m").alias("n_valid"), F.size("t").alias("n_tokens"), inverted.alias("n_masked"))
 
 
-@query(f"SELECT doc_id, tok_pos, round(v[1], 6) AS x FROM (SELECT *, sum(mask) OVER (PARTITION BY doc_id) AS n FROM ({TOKENS})) WHERE tok_pos < n")
+@query(f"SELECT doc_id, tok_pos, CAST(unnest(range(len(v))) AS INTEGER) AS pos, round(unnest(v), 6) + 0.0 AS x FROM (SELECT *, sum(mask) OVER (PARTITION BY doc_id) AS n FROM ({TOKENS})) WHERE tok_pos < n")
 def unpad_tokens(spark, sf_dir):
     d = documents_of_tokens(spark, sf_dir).select("doc_id", F.posexplode(sq.unpad("t", "m")).alias("tok_pos", "v"))
-    return d.select("doc_id", "tok_pos", F.round(F.element_at("v", 1), 6).alias("x"))
+    return long_form(d, "v", "x", "doc_id", "tok_pos")
 
 
 VALID = f"SELECT doc_id, tok_pos, v FROM ({TOKENS}) WHERE mask = 1"
@@ -258,7 +258,7 @@ def maxpair_cosine_topk(spark, sf_dir):
     return rounded(late.maxsim_knn(q, d, 5, pair=True, exclude_same=True))
 
 
-# --- binary quantisation ---------------------------------------------------
+# binary quantisation
 
 BYTES = f"SELECT vec_id, CAST((i - 1) // 8 AS INTEGER) AS pos, CAST(sum(CASE WHEN v[i] >= 0 THEN 1 << ((i - 1) % 8) ELSE 0 END) AS INTEGER) AS byte FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM ({V})) GROUP BY 1, 2"
 SIGN_EQUAL = "CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q.v[i] >= 0) = (d.v[i] >= 0) THEN 1 ELSE 0 END)) AS DOUBLE)"
@@ -327,10 +327,10 @@ def int8_codes(spark, sf_dir):
     return e.join(ranges, "pos").select("vec_id", "pos", F.element_at(coded["values"], 1).cast("int").alias("code"))
 
 
-# --- sparse vectors --------------------------------------------------------
+# sparse vectors
 
 VOCABULARY = 30522
-TERMS = r"SELECT doc_id, term, ln(1 + count(*)) AS weight FROM (SELECT {id} AS doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM {table}) GROUP BY doc_id, term"
+TERMS = r"SELECT doc_id, term, ln(1 + count(*)) AS weight FROM (SELECT {id} AS doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS term FROM {table}) GROUP BY doc_id, term"
 DOC_TERMS, ITEM_TERMS = TERMS.format(id="doc_id", table="documents"), TERMS.format(id="item_id", table="benchmark")
 
 
@@ -364,14 +364,14 @@ def sparse_dot_pairs(spark, sf_dir):
 RANK9 = "SELECT qid, did, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, did) AS rank FROM ({})) WHERE rank <= {}"
 
 
-def ranked9(scored: DataFrame, k: int) -> DataFrame:
-    """Top k by scores to nine digits, as sums of many terms depend on their order beyond."""
-    return retrieval.top_k(scored.withColumn("score", F.round("score", 9)), k).withColumn("score", F.round("score", 4))
+def rounded4(ranked: DataFrame) -> DataFrame:
+    """Rankings are by scores to nine digits, as sums of many terms depend on their order beyond."""
+    return ranked.withColumn("score", F.round("score", 4))
 
 
 @query(RANK9.format(SPARSE_DOT, 10))
 def sparse_topk(spark, sf_dir):
-    return ranked9(sparse.dot_pairs(item_terms(spark, sf_dir), doc_terms(spark, sf_dir)), 10)
+    return rounded4(sparse.knn(item_terms(spark, sf_dir), doc_terms(spark, sf_dir), 10, digits=9))
 
 
 @query(f"SELECT term, CAST(count(*) AS BIGINT) AS n_docs, round(sum(weight), 4) AS total FROM ({DOC_TERMS}) GROUP BY term")
@@ -385,14 +385,14 @@ def sparse_threshold(spark, sf_dir):
     return pairs.select("vec_id", F.col("p.index").alias("index"), F.round("p.weight", 6).alias("weight"))
 
 
-# --- hashed encodings and comparison of rankings ---------------------------
+# hashed encodings and comparison of rankings
 
 DIMS = 8
 
 
 def hash_sql(id_col: str, source: str) -> str:
     sums = ", ".join(f"sum(CAST(('0x' || substr(md5(term || ':{d}'), 1, 8)) AS BIGINT) / 2147483648.0::DOUBLE - 1.0) / count(*)" for d in range(DIMS))
-    return f"SELECT doc_id, [{sums}] AS v FROM (SELECT DISTINCT {id_col} AS doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM {source}) GROUP BY doc_id"
+    return rf"SELECT doc_id, [{sums}] AS v FROM (SELECT DISTINCT {id_col} AS doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS term FROM {source}) GROUP BY doc_id"
 
 
 def hash_vectors(spark: SparkSession, sf_dir: str, name: str, id_col: str) -> DataFrame:
@@ -413,9 +413,9 @@ HASH_PAIRS = f"SELECT q.doc_id AS qid, d.doc_id AS did, list_cosine_similarity(q
 
 
 def hash_ranking(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    q = hash_vectors(spark, sf_dir, "benchmark", "item_id").select(F.col("doc_id").alias("qid"), F.col("v").alias("q"))
-    d = hash_vectors(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("did"), F.col("v").alias("d"))
-    return ranked9(retrieval.pairs(q, d, vx.cosine("q", "d")).select("qid", "did", "score"), k)
+    q = hash_vectors(spark, sf_dir, "benchmark", "item_id").select(F.col("doc_id").alias("qid"), "v")
+    d = hash_vectors(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("did"), "v")
+    return rounded4(retrieval.knn(q, d, k, "cosine", "v", digits=9))
 
 
 @query(RANK9.format(HASH_PAIRS, 5))
@@ -427,7 +427,7 @@ def hash_encode_topk(spark, sf_dir):
 SELECT qid, rank, a.did AS dense_doc, a.score AS dense_score, b.did AS sparse_doc, b.score AS sparse_score FROM a FULL JOIN b USING (qid, rank)""")
 def paradigm_compare(spark, sf_dir):
     """The five best documents of each benchmark item by hashed vectors and by words, side by side."""
-    by_words = ranked9(sparse.dot_pairs(item_terms(spark, sf_dir), doc_terms(spark, sf_dir)), 5)
+    by_words = rounded4(sparse.knn(item_terms(spark, sf_dir), doc_terms(spark, sf_dir), 5, digits=9))
     return retrieval.side_by_side({"dense": hash_ranking(spark, sf_dir, 5), "sparse": by_words})
 
 
@@ -437,9 +437,9 @@ def text_shown(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", retrieval.shortened("text").alias("shown"))
 
 
-# --- token sequences -------------------------------------------------------
+# token sequences
 
-WORD_IDS = "SELECT conv_id, turn, list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: CAST(('0x' || substr(md5(w), 1, 4)) AS BIGINT)) AS ids FROM conversations"
+WORD_IDS = r"SELECT conv_id, turn, list_transform(regexp_extract_all(lower(text), '\p{L}+'), lambda w: CAST(('0x' || substr(md5(w), 1, 4)) AS BIGINT)) AS ids FROM conversations"
 
 
 def word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -461,7 +461,7 @@ def num_vectors(spark, sf_dir):
     return word_ids(spark, sf_dir).select("conv_id", "turn", F.size("ids").alias("n_vectors"))
 
 
-# --- time series -----------------------------------------------------------
+# time series
 
 SERIES = "SELECT user_id, value, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos, CAST(count(*) OVER (PARTITION BY user_id) AS INTEGER) AS n FROM events"
 SCALED = f"SELECT *, value / (avg(abs(value)) OVER (PARTITION BY user_id) + 1e-10) AS scaled FROM ({SERIES})"
@@ -470,43 +470,36 @@ BIN = "CAST(least(greatest(floor((least(greatest({x}, -10.0::DOUBLE), 10.0::DOUB
 
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id and all values in order of time."""
-    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    return s.select("user_id", F.transform("s", lambda x: x["value"]).alias("v"))
-
-
-def scaled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_series(spark, sf_dir).withColumn("scale", ts.series_scale("v")).withColumn("w", F.transform("v", lambda x: x / F.col("scale")))
+    """user_id, pos from 0 in order of time, n, value: a series stays rows, so one long series is no one row."""
+    return ts.numbered(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "pos", "n", "value")
 
 
 @query(f"SELECT user_id, pos, round(scaled, 6) + 0.0 AS x FROM ({SCALED})")
 def ts_scale(spark, sf_dir):
-    return long_form(scaled_series(spark, sf_dir), "w", "x", "user_id")
+    return rounded(ts.scaled_rows(event_series(spark, sf_dir), "user_id").select("user_id", "pos", F.col("scaled").alias("x")), "x")
 
 
-@query(f"SELECT user_id, CAST(pos // 8 AS INTEGER) AS patch, CAST(pos % 8 AS INTEGER) AS pos, round(value, 6) + 0.0 AS x FROM ({TAIL})")
+@query(f"SELECT user_id, CAST(pos // 8 AS INTEGER) AS patch, CAST(pos % 8 AS INTEGER) AS pos, round(value, 6) + 0.0 AS x FROM ({SERIES}) WHERE pos < n - n % 8")
 def ts_patches(spark, sf_dir):
-    """The last 32 values of every user with so many, in patches of eight."""
-    s = event_series(spark, sf_dir).where("size(v) >= 32").select("user_id", F.posexplode(ts.patches(sq.tail("v", 32), 8)).alias("patch", "p"))
-    return long_form(s, "p", "x", "user_id", "patch")
+    """Every user's whole series in patches of eight; less than a patch at the end is left out."""
+    return rounded(ts.patch_rows(event_series(spark, sf_dir), 8).select("user_id", "patch", "pos", F.col("value").alias("x")), "x")
 
 
 @query(f"SELECT user_id, pos, {BIN.format(x='scaled')} AS bin FROM ({SCALED})")
 def ts_bins(spark, sf_dir):
-    s = scaled_series(spark, sf_dir).select("user_id", F.posexplode("w").alias("pos", "x"))
-    return s.select("user_id", "pos", ts.to_bin("x", 4096).alias("bin"))
+    return ts.scaled_rows(event_series(spark, sf_dir), "user_id").select("user_id", "pos", ts.to_bin("scaled", 4096).alias("bin"))
 
 
 @query(f"SELECT user_id, pos, round({BIN.format(x='scaled')} * (20.0::DOUBLE / 4096) + (-10.0::DOUBLE + 20.0::DOUBLE / 4096 / 2), 6) + 0.0 AS x FROM ({SCALED})")
 def ts_bins_roundtrip(spark, sf_dir):
-    s = scaled_series(spark, sf_dir).select("user_id", F.posexplode("w").alias("pos", "x"))
-    return rounded(s.select("user_id", "pos", ts.from_bin(ts.to_bin("x", 4096), 4096).alias("x")), "x")
+    s = ts.scaled_rows(event_series(spark, sf_dir), "user_id")
+    return rounded(s.select("user_id", "pos", ts.from_bin(ts.to_bin("scaled", 4096), 4096).alias("x")), "x")
 
 
 @query(f"SELECT user_id, pos, value FROM ({TAIL})")
 def ts_tail_context(spark, sf_dir):
-    s = event_series(spark, sf_dir).where("size(v) >= 32")
-    return s.select("user_id", F.posexplode(sq.tail("v", 32)).alias("pos", "value"))
+    """The last 32 values of every user with so many."""
+    return ts.tail_rows(table(spark, sf_dir, "events"), "user_id", 32, "ts", "event_id").select("user_id", "pos", "value")
 
 
 @query(f"SELECT user_id, pos, round(exp(sum(value / 1000) OVER (PARTITION BY user_id ORDER BY pos)), 6) AS x FROM ({SERIES})")
@@ -554,7 +547,7 @@ def events_windowed(spark, sf_dir):
     return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("scale", 6).alias("scale"))
 
 
-# --- images ----------------------------------------------------------------
+# images
 
 PIXELS = "SELECT r // 192 AS image_id, CAST(r // 64 % 3 AS INTEGER) AS channel, CAST(r // 8 % 8 AS INTEGER) AS y, CAST(r % 8 AS INTEGER) AS x, CAST((r * 37) % 256 AS INTEGER) AS p FROM range(1920) t(r)"
 CASE3 = "CASE channel WHEN 0 THEN {}::DOUBLE WHEN 1 THEN {}::DOUBLE ELSE {}::DOUBLE END"
@@ -567,7 +560,7 @@ def image_normalize(spark, sf_dir):
     return rounded(files.normalize_pixels(px).drop("p"), "v")
 
 
-# --- registry --------------------------------------------------------------
+# registry
 
 
 def registry_sql() -> str:
