@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomvec.errors import QuantizationError
-from loomvec.functions.vectors import col, doubles
+from loomvec.functions.vectors import col, doubles, let
 
 
 def pack_bits(v: Column | str) -> Column:
@@ -27,8 +27,8 @@ def unpack_bits(data: Column | str, dim: Column | int) -> Column:
     """1.0 and -1.0 for each of `dim` bits."""
     data, dim = col(data), F.lit(dim) if isinstance(dim, int) else dim
     at = F.sequence(F.lit(0), F.greatest(dim - 1, F.lit(0)))
-    bit = lambda i: F.try_element_at(data, (F.floor(i / 8) + 1).cast("int")).bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (i % 8 + 1).cast("int")))
-    return F.when(dim > 0, F.transform(at, lambda i: F.when(bit(i) > 0, 1.0).otherwise(-1.0))).otherwise(F.array().cast("array<double>"))
+    bit = lambda data, i: F.try_element_at(data, (F.floor(i / 8) + 1).cast("int")).bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (i % 8 + 1).cast("int")))
+    return F.when(dim > 0, let(data, lambda d: F.transform(at, lambda i: F.when(bit(d, i) > 0, 1.0).otherwise(-1.0)))).otherwise(F.array().cast("array<double>"))
 
 
 def hamming_similarity(a: Column | str, b: Column | str, dim: Column | int, other_dim: Column | int | None = None) -> Column:
@@ -72,8 +72,7 @@ def int8_quantize(v: Column | str, low: Column, high: Column) -> Column:
 
 
 def int8_dequantize(q: Column | str) -> Column:
-    q = col(q)
-    return F.transform(q["values"], lambda x: (x.cast("double") + 128) * q["scale"] + q["offset"])
+    return let(col(q), lambda q: F.transform(q["values"], lambda x: (x.cast("double") + 128) * q["scale"] + q["offset"]))
 
 
 def int4_quantize(v: Column | str, group_size: int = 32) -> Column:
@@ -82,15 +81,17 @@ def int4_quantize(v: Column | str, group_size: int = 32) -> Column:
         raise QuantizationError("group_size is even and at least 2")
     v = doubles(v)
     groups = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / group_size).cast("int") - 1, F.lit(0))), lambda g: F.slice(v, g * group_size + 1, group_size))
-    offsets = F.transform(groups, F.array_min)
-    scales = F.transform(groups, lambda g: F.when(F.array_max(g) > F.array_min(g), (F.array_max(g) - F.array_min(g)) / 15.0).otherwise(1.0))
-    codes = F.transform(v, lambda x, i: F.rint((x - F.element_at(offsets, (F.floor(i / group_size) + 1).cast("int"))) / F.element_at(scales, (F.floor(i / group_size) + 1).cast("int"))).cast("int"))
-    packed = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / 2).cast("int") - 1), lambda b: F.element_at(codes, b * 2 + 1) * 16 + F.coalesce(F.try_element_at(codes, b * 2 + 2), F.lit(0)))
-    return F.struct(packed.alias("values"), scales.alias("scales"), offsets.alias("offsets"))
+    ranges = F.transform(groups, lambda g: F.struct(g.alias("v"), F.array_min(g).alias("low"), F.array_max(g).alias("high")))
+    step = lambda g: F.when(g["high"] > g["low"], (g["high"] - g["low"]) / 15.0).otherwise(1.0)
+    scaled = F.transform(ranges, lambda g: F.struct(g["v"].alias("v"), g["low"].alias("low"), step(g).alias("step")))
+    coded = lambda g: F.transform(g["v"], lambda x: F.rint((x - g["low"]) / g["step"]).cast("int"))
+    packed = lambda c: F.transform(F.sequence(F.lit(0), F.ceil(F.size(c) / 2).cast("int") - 1), lambda b: F.element_at(c, b * 2 + 1) * 16 + F.coalesce(F.try_element_at(c, b * 2 + 2), F.lit(0)))
+    parts = lambda s: F.struct(let(F.flatten(F.transform(s, coded)), packed).alias("values"), F.transform(s, lambda g: g["step"]).alias("scales"), F.transform(s, lambda g: g["low"]).alias("offsets"))
+    return let(scaled, parts)
 
 
 def int4_dequantize(q: Column | str, dim: int, group_size: int = 32) -> Column:
-    q = col(q)
-    code = lambda i: F.when(i % 2 == 0, F.floor(F.element_at(q["values"], (F.floor(i / 2) + 1).cast("int")) / 16)).otherwise(F.element_at(q["values"], (F.floor(i / 2) + 1).cast("int")) % 16)
+    byte = lambda q, i: F.element_at(q["values"], (F.floor(i / 2) + 1).cast("int"))
+    code = lambda q, i: F.when(i % 2 == 0, F.floor(byte(q, i) / 16)).otherwise(byte(q, i) % 16)
     at = lambda i: (F.floor(i / group_size) + 1).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: code(i) * F.element_at(q["scales"], at(i)) + F.element_at(q["offsets"], at(i)))
+    return let(col(q), lambda q: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: code(q, i) * F.element_at(q["scales"], at(i)) + F.element_at(q["offsets"], at(i))))

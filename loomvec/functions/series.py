@@ -83,6 +83,12 @@ def quantile_statistics(q10: Column, q20: Column, q30: Column, q70: Column, q80:
     return [q25.alias("q25"), q75.alias("q75"), (q75 - q25).alias("iqr"), (q90 - q10).alias("pi80")]
 
 
+def forecast_steps(forecast: Column | str, context: Column | str | int) -> Column:
+    """array of (step, at, value): steps from 0, and their places on the axis, which go on after the context."""
+    begin = F.lit(context) if isinstance(context, int) else col(context)
+    return F.transform(col(forecast), lambda x, i: F.struct(i.alias("step"), (begin + i).alias("at"), x.alias("value")))
+
+
 def key_steps(horizon: int) -> list[int]:
     """Start, quarters and end of a forecast."""
     return sorted({0, horizon // 4, horizon // 2, 3 * horizon // 4, horizon - 1})

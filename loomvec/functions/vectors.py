@@ -5,6 +5,7 @@ truncation beyond the length; a null vector gives null."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from enum import Enum
 
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ def doubles(v: Column | str) -> Column:
     return col(v).cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, where body has it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(v: Column) -> Column:
     """Sum of an array of doubles."""
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)

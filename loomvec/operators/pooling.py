@@ -38,6 +38,12 @@ def mean(tokens: Column | str, mask: Column | str) -> Column:
     return F.when(F.size(own) > 0, F.transform(summed, lambda x: x / F.nullif(F.size(own), F.lit(0)))).otherwise(zeros_like(tokens))
 
 
+def token_mean(tokens: Column | str) -> Column:
+    """The mean of all vectors, whatever the mask."""
+    tokens = matrix(tokens)
+    return mean(tokens, F.transform(tokens, lambda v: F.lit(1)))
+
+
 def maximum(tokens: Column | str, mask: Column | str) -> Column:
     tokens = matrix(tokens)
     own = kept(tokens, col(mask))

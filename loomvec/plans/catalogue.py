@@ -566,14 +566,14 @@ def image_normalize(spark, sf_dir):
 def registry_sql() -> str:
     text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
     lists = lambda xs: "[" + ", ".join(map(text, xs)) + "]::VARCHAR[]"
-    rows = ", ".join(f"({r.registry_pos}, {text(r.id)}, {text(r.model_type)}, {text(r.huggingface_id)}, {text(r.organization)}, {r.default_dim}, {'NULL' if r.embedding_dim[1] is None else r.embedding_dim[1]}, {r.supported_dimensions}, {lists(r.languages)}, {r.context_length})" for r in registry.rows())
-    return f"(VALUES {rows}) m(pos, id, model_type, hf, org, dim, min_dim, supported, languages, ctx)"
+    rows = ", ".join(f"({r.registry_pos}, {text(r.id)}, {text(r.model_type)}, {text(r.huggingface_id)}, {text(r.organization)}, {r.default_dim}, {'NULL' if r.embedding_dim[1] is None else r.embedding_dim[1]}, {'NULL' if r.embedding_dim[2] is None else r.embedding_dim[2]}, {r.supported_dimensions}, {lists(r.languages)}, {r.context_length})" for r in registry.rows())
+    return f"(VALUES {rows}) m(pos, id, model_type, hf, org, dim, min_dim, max_dim, supported, languages, ctx)"
 
 
 MODELS = registry_sql()
 
 
-@query(f"SELECT model_type, CAST(count(*) AS BIGINT) AS n, max(dim) AS max_dim FROM {MODELS} GROUP BY model_type")
+@query(f"SELECT model_type, CAST(count(*) AS BIGINT) AS n, max(dim) AS max_dim FROM (SELECT model_type, dim FROM {MODELS}) GROUP BY model_type")
 def registry_by_type(spark, sf_dir):
     return registry.registry(spark).groupBy("model_type").agg(F.count("*").alias("n"), F.max("embedding_dim.default").alias("max_dim"))
 
@@ -600,7 +600,30 @@ def registry_by_repository(spark, sf_dir):
     return registry.registry(spark).groupBy("huggingface_id").agg(F.min_by("id", "registry_pos").alias("id"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS rule WHERE false")
+BROKEN = f"""SELECT pos, id, CASE WHEN pos % 7 = 0 THEN replace(hf, '/', '-') ELSE hf END AS hf, CASE WHEN pos % 5 = 0 THEN 0 ELSE ctx END AS ctx,
+CASE WHEN pos % 4 = 1 THEN 100000 WHEN pos % 11 = 3 THEN 0 ELSE dim END AS dim, min_dim, CASE WHEN pos % 3 = 2 THEN min_dim ELSE max_dim END AS max_dim, supported FROM {MODELS}"""
+RULES = {
+    "embedding dimension is positive": "dim > 0", "minimum is below maximum": "min_dim IS NULL OR min_dim < max_dim", "default lies in range": "min_dim IS NULL OR dim BETWEEN min_dim AND max_dim",
+    "supported dimensions lie in range": "min_dim IS NULL OR len(list_filter(supported, lambda x: x < min_dim OR x > max_dim)) = 0", "context length is positive": "ctx > 0", "repository id has a slash": "contains(hf, '/')",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT id, '{rule}' AS rule FROM r WHERE NOT ({ok})" for rule, ok in RULES.items()).join((f"WITH b AS ({BROKEN}), r AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE pos % 6 = 0) ", " UNION ALL SELECT id, 'id is unique' AS rule FROM r GROUP BY id HAVING count(*) > 1")))
 def registry_violations(spark, sf_dir):
-    """No row breaks a rule."""
+    """What the rules find in a registry with planted faults and repeated rows."""
+    d, pos = F.col("embedding_dim"), F.col("registry_pos")
+    faults = {
+        "huggingface_id": F.when(pos % 7 == 0, F.replace(F.col("huggingface_id"), F.lit("/"), F.lit("-"))).otherwise(F.col("huggingface_id")),
+        "context_length": F.when(pos % 5 == 0, 0).otherwise(F.col("context_length")),
+        "projection_dims": F.lit(None).cast("int"),
+        "has_projection": F.lit(False),
+        "embedding_dim": F.struct(F.when(pos % 4 == 1, 100000).when(pos % 11 == 3, 0).otherwise(d["default"]).alias("default"), d["min"].alias("min"), F.when(pos % 3 == 2, d["min"]).otherwise(d["max"]).alias("max"), d["supported"].alias("supported"), d["strategy"].alias("strategy")),
+    }
+    broken = registry.registry(spark).withColumns(faults)
+    return registry.violations(broken.unionAll(broken.where(pos % 6 == 0)))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS rule WHERE false")
+def registry_sound(spark, sf_dir):
+    """No row of the registry itself breaks a rule."""
     return registry.violations(registry.registry(spark))

@@ -91,7 +91,7 @@ def shard_names(index: Column | str) -> Column:
 
 def read_safetensors(path: str) -> dict[str, np.ndarray]:
     """All tensors of a file, mapped into memory rather than read."""
-    kinds = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "i1", "U8": "u1", "BOOL": "?"}
+    kinds = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "BF16": "<u2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "i1", "U8": "u1", "BOOL": "?"}
     try:
         with open(path, "rb") as f:
             size = int.from_bytes(f.read(8), "little")
@@ -107,6 +107,8 @@ def read_safetensors(path: str) -> dict[str, np.ndarray]:
             raise ModelLoadError(path, f"type {t['dtype']} of {name} isn't supported")
         a, b = t["data_offsets"]
         out[name] = data[a:b].view(kinds[t["dtype"]]).reshape(t["shape"])
+        if t["dtype"] == "BF16":  # the upper half of a float32
+            out[name] = (out[name].astype(np.uint32) << 16).view(np.float32)
     return out
 
 
@@ -132,11 +134,21 @@ def local_file(folder: str, name: str) -> Path:
     return path
 
 
-def model_family(config: Column | str) -> Column:
-    """The kind of network that a model's JSON configuration names."""
+#: Names of networks by a part of the model type that a configuration states, in order, for each kind of encoder.
+FAMILIES = {
+    "dense": (("distilbert", "distilbert"), ("jina", "jinabert"), ("xlm%roberta", "xlm-roberta"), ("modernbert", "modernbert"), ("bert", "bert")),
+    "multi": (("distilbert", "distilbert"), ("jina", "jinabert"), ("bert", "bert")),
+    "sparse": (("distilbert", "distilbert"), ("bert", "bert")),
+}
+
+
+def model_family(config: Column | str, kind: str = "dense") -> Column:
+    """The kind of network that a model's JSON configuration names, or else that its sizes
+    tell: `dim` without `hidden_size` is distilbert, `hidden_size` bert. Null where neither does."""
     config = F.col(config) if isinstance(config, str) else config
-    kind = F.lower(F.coalesce(F.get_json_object(config, "$.model_type"), F.get_json_object(config, "$.architectures[0]"), F.lit("")))
-    out = F.when(kind.contains("distilbert"), "distilbert")
-    for part, family in (("jina", "jina-bert"), ("nomic", "nomic-bert"), ("xlm", "xlm-roberta"), ("roberta", "roberta"), ("bert", "bert"), ("t5", "t5")):
-        out = out.when(kind.contains(part), family)
-    return out.otherwise("unknown")
+    stated = F.lower(F.get_json_object(config, "$.model_type"))
+    out = F.when(F.lower(F.get_json_object(config, "$.architectures")).contains("jinabert"), "jinabert") if kind == "dense" else F.when(F.lit(False), "")
+    for part, family in FAMILIES[kind]:
+        out = out.when(stated.like(f"%{part}%"), family)
+    hidden = F.get_json_object(config, "$.hidden_size").isNotNull()
+    return out.when(F.get_json_object(config, "$.dim").isNotNull() & ~hidden, "distilbert").when(hidden, "bert")
