@@ -93,6 +93,38 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", v
     return top_k(corpus.mapInArrow(run, schema), k, query, doc)
 
 
+def scores(queries: DataFrame, corpus: DataFrame, metric: str = "dot", vector: str = "embedding", query: str = "qid", doc: str = "did") -> DataFrame:
+    """query, doc, score of all pairs, by matrix products. For all pairs as a result; for the best of them
+    there is knn. More queries than BROADCAST_BYTES of vectors are joined partition by partition. Rows with a
+    null id or vector are left out; euclidean scores are distances here."""
+    sides = [df.where(F.col(i).isNotNull() & F.col(vector).isNotNull()).select(F.col(i).cast("bigint").alias(i), F.col(vector).cast("array<double>").alias(vector)) for df, i in ((queries, query), (corpus, doc))]
+    n, width = sides[0].agg(F.count("*"), F.max(F.size(vector))).first()
+    schema = f"`{query}` bigint, `{doc}` bigint, score double"
+    if not n:
+        return queries.sparkSession.createDataFrame([], schema)
+    if n * width * 8 > BROADCAST_BYTES:
+        from loomvec.functions import vectors
+
+        if metric == "hamming":
+            raise ConfigError(f"all pairs of more than {BROADCAST_BYTES} bytes of queries have no Hamming scores; use knn")
+        score = {"dot": vectors.dot, "cosine": vectors.cosine, "euclidean": vectors.euclidean}[metric]("_q", "_d")
+        return pairs(sides[0].withColumnRenamed(vector, "_q"), sides[1].withColumnRenamed(vector, "_d"), score).select(query, doc, "score")
+    table = sides[0].toArrow().combine_chunks()
+    held = queries.sparkSession.sparkContext.broadcast((table[query].to_numpy(), _rows(table[vector].combine_chunks(), width)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_id, q = held.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                d_id, d = part.column(0).to_numpy(), _rows(part.column(1), q.shape[1])
+                for i in range(0, len(q), 1024):
+                    found = similarity(q[i : i + 1024], d, metric)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id[i : i + 1024], len(d_id))), pa.array(np.tile(d_id, len(found))), pa.array(np.abs(found).ravel() if metric == "euclidean" else found.ravel())], names=[query, doc, "score"])
+
+    return sides[1].mapInArrow(run, schema)
+
+
 def _fold(best, q_id, q, d_id, d, k, metric, exclude_same, digits):
     """The k best of what was best and of a further batch."""
     step = len(q) if metric != "euclidean" else max(1, (8 << 20) // max(1, d.size))

@@ -47,25 +47,24 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
-def all_pairs(spark: SparkSession, sf_dir: str, score) -> DataFrame:
+def all_pairs(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    q, d = v.select(F.col("vec_id").alias("qid"), F.col("v").alias("q")), v.select(F.col("vec_id").alias("did"), F.col("v").alias("d"))
-    return retrieval.pairs(q, d, F.round(score("q", "d"), 6) + F.lit(0.0)).select("qid", "did", "score")
+    return rounded(retrieval.scores(v.withColumnRenamed("vec_id", "qid"), v.withColumnRenamed("vec_id", "did"), metric, "v"))
 
 
 @query(PAIRS.format("round(list_dot_product(q.v, d.v), 6) + 0.0"))
 def vec_dot_pairs(spark, sf_dir):
-    return all_pairs(spark, sf_dir, vx.dot)
+    return all_pairs(spark, sf_dir, "dot")
 
 
 @query(PAIRS.format("round(list_cosine_similarity(q.v, d.v), 6) + 0.0"))
 def vec_cosine_pairs(spark, sf_dir):
-    return all_pairs(spark, sf_dir, vx.cosine)
+    return all_pairs(spark, sf_dir, "cosine")
 
 
 @query(PAIRS.format("round(list_distance(q.v, d.v), 6) + 0.0"))
 def vec_euclid_pairs(spark, sf_dir):
-    return all_pairs(spark, sf_dir, vx.euclidean)
+    return all_pairs(spark, sf_dir, "euclidean")
 
 
 @query(f"SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM ({V})")
@@ -283,9 +282,7 @@ def binary_memory(spark, sf_dir):
 
 @query(PAIRS.format(SIGN_EQUAL))
 def hamming_pairs(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("vec_id", qz.pack_bits("v").alias("b"))
-    q, d = v.select(F.col("vec_id").alias("qid"), F.col("b").alias("q")), v.select(F.col("vec_id").alias("did"), F.col("b").alias("d"))
-    return retrieval.pairs(q, d, qz.hamming_similarity("q", "d", 64)).select("qid", "did", "score")
+    return all_pairs(spark, sf_dir, "hamming")
 
 
 @query(TOP5.format(PAIRS.format(SIGN_EQUAL) + " WHERE q.vec_id <> d.vec_id"))
