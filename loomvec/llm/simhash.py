@@ -66,7 +66,7 @@ SKETCH = ["s0", "s1"]
 SLOTS = 16
 
 
-# --- the code --------------------------------------------------------------
+# The code
 
 
 def _syndrome(word: int) -> int:
@@ -109,7 +109,7 @@ def nearby(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, (segments[of] ^ patterns[syndrome[of], slot]) >> 11
 
 
-# --- fingerprints ----------------------------------------------------------
+# Fingerprints
 
 
 def sketches(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -161,7 +161,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, " + ", ".join(f"{p} bigint" for p in [*PRINT, *SKETCH]))
 
 
-# --- search ----------------------------------------------------------------
+# Search
 
 
 def alike(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
