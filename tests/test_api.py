@@ -122,7 +122,11 @@ def test_files(spark, tmp_path):
     index = spark.createDataFrame([(json.dumps({"weight_map": {"a": "2.bin", "b": "1.bin", "c": "2.bin"}}),)], "j string")
     assert index.select(files.shard_names("j").alias("n")).first().n == ["1.bin", "2.bin"]
     config = spark.createDataFrame([('{"model_type": "distilbert"}',), ('{"architectures": ["JinaBertModel"]}',), ("{}",)], "c string")
-    assert [r.f for r in config.select(files.model_family("c").alias("f")).collect()] == ["distilbert", "jina-bert", "unknown"]
+    assert [r.f for r in config.select(files.model_family("c").alias("f")).collect()] == ["distilbert", "jinabert", None]
+    half = np.array([1.5, -2.0], dtype="<f4").view("<u4") >> 16
+    header = json.dumps({"w": {"dtype": "BF16", "shape": [2], "data_offsets": [0, 4]}}).encode()
+    (tmp_path / "half.safetensors").write_bytes(len(header).to_bytes(8, "little") + header + half.astype("<u2").tobytes())
+    assert files.read_safetensors(str(tmp_path / "half.safetensors"))["w"].tolist() == [1.5, -2.0]
 
 
 def test_images(spark, tmp_path):
