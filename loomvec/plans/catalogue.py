@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomvec.encoder import HashEncoder, hash_value, words
+from loomvec.encoder import WORD, HashEncoder, words
 from loomvec.functions import quantization as qz
 from loomvec.functions import sequences as sq
 from loomvec.functions import series as ts
@@ -393,17 +393,14 @@ def hash_sql(id_col: str, source: str) -> str:
 
 
 def hash_vectors(spark: SparkSession, sf_dir: str, name: str, id_col: str) -> DataFrame:
-    """doc_id and the hashed mean of distinct words, not normalised, of texts with words: each distinct word is hashed once."""
-    found = table(spark, sf_dir, name).select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(words("text"))).alias("term"))
-    values = found.select("term").distinct().withColumns({f"x{d}": hash_value(F.col("term"), d) for d in range(DIMS)})
-    sums = found.join(values, "term").groupBy("doc_id").agg(*(F.avg(f"x{d}").alias(f"x{d}") for d in range(DIMS)))
-    return sums.select("doc_id", F.array(*(f"x{d}" for d in range(DIMS))).alias("v"))
+    """doc_id and the hashed unit mean of distinct words, of texts with words."""
+    texts = table(spark, sf_dir, name).select(F.col(id_col).alias("doc_id"), "text").where(F.regexp_instr("text", F.lit(WORD)) > 0)
+    return HashEncoder(DIMS).transform(texts, "text", "v").select("doc_id", "v")
 
 
 @query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, round(v[i] / sqrt(list_dot_product(v, v)), 6) + 0.0 AS x FROM (SELECT doc_id, v, unnest(range(1, {DIMS + 1})) AS i FROM ({hash_sql('doc_id', 'documents')}))")
 def hash_encode_dense(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.size(words("text")) > 0)
-    return long_form(HashEncoder(DIMS).transform(docs, "text", "v"), "v", "x", "doc_id")
+    return long_form(hash_vectors(spark, sf_dir, "documents", "doc_id"), "v", "x", "doc_id")
 
 
 HASH_PAIRS = f"SELECT q.doc_id AS qid, d.doc_id AS did, list_cosine_similarity(q.v, d.v) AS score FROM ({hash_sql('item_id', 'benchmark')}) q, ({hash_sql('doc_id', 'documents')}) d"

@@ -30,6 +30,8 @@ def get_session(app: str = "loomvec", cpus: int | str = "*", partitions: int = 8
     )
 
 
+#: Bytes of a table from which it is worth dealing to all cores, and bytes a core from which Spark's own splits do.
+DEALT_FROM, DEALT_TO = 4 << 20, 16 << 20
 _own_dir: list[str] = []
 _written: list[str] = []
 
@@ -82,5 +84,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's parquet tables. A file may be one row group, which one task reads: a table of some size
+    in fewer files than there are cores is dealt to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) >= cores:
+        return rows
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return rows.repartition(cores) if DEALT_FROM <= size < cores * DEALT_TO else rows
