@@ -31,6 +31,8 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from importlib.resources import files
+from io import BytesIO
 from pathlib import Path
 from zipfile import ZipFile, is_zipfile
 
@@ -61,10 +63,10 @@ NOTICES = {
 }
 
 
-def load_templates(path: str | Path = Path(__file__).with_name("templates.zip")) -> dict[str, str]:
-    """License id to template, of the .txt files of a folder or a zip archive."""
-    if is_zipfile(path):
-        with ZipFile(path) as z:
+def load_templates(path: str | Path | None = None) -> dict[str, str]:
+    """License id to template, of the .txt files of a folder or a zip archive; without a path of the package's own, which may itself be shipped as an archive."""
+    if path is None or is_zipfile(path):
+        with ZipFile(path or BytesIO(files(__package__).joinpath("templates.zip").read_bytes())) as z:
             return {n.removesuffix(".txt"): z.read(n).decode() for n in sorted(z.namelist()) if n.endswith(".txt")}
     return {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(path).glob("*.txt"))}
 
