@@ -1,17 +1,19 @@
 """Near-duplicate documents by SimHash and Golay-code fuzzy hashing.
 
 A document's fingerprint has 8 segments of 23 bits, each bit the majority over
-its distinct words. The binary Golay code is perfect: every 23-bit word is within
-3 bits of one codeword, and words at most 2 bits apart share a codeword within 4
-bits of both. So each segment is decoded to the indices, 12 bits each, of all codewords within 4 bits,
-one to six of them. Each of the 28 pairs of segments makes keys; a document gets one for each
-combination of its two lists. By the pigeonhole principle two fingerprints that
-differ in at most 20 bits have two segments with at most 2 errors each, hence a common key;
-with more errors spread at random, up to MAX_DISTANCE, at least nine in ten have. What shares a key is
-verified on all 184 bits and, where more than SURE of them differ, on a sketch of the
-texts' word triples: long texts of one language have many words in common without
-being copies, but not their order. The sketch has the smallest hash of the triples in each of
-16 slots, a byte each.
+its distinct words. Its sketch has the smallest hash of the text's word triples in each of
+16 slots, a byte each. Two documents are near copies if at most SURE of the 184 bits differ, or at most
+MAX_DISTANCE and enough slots agree: long texts of one language have many words in common without
+being copies, but not their order. Keys find every such pair:
+
+At most SURE bits apart, one of the 4 pairs of segments has at most one error. The binary Golay code is perfect: every
+23-bit word is within 3 bits of one codeword, and words at most 2 bits apart share a codeword within 4
+bits of both. So a segment as it is makes keys with the indices, 12 bits each, of all codewords within 4 bits of its partner,
+one to six of them.
+
+Beyond, at least 5 of the 16 slots agree, 3 of them in one half, so three slots of a half make a key: 112
+of 24 bits. Documents of few slots may agree in fewer, and make further keys: of the triples that are in any 4 slots, of all
+triples, of pairs or of single slots. Few texts share three slots by chance, whatever their language: one pair in 150,000.
 
 Documents with equal fingerprints are one before keys are made. Within a key the
 verified pairs of a large group are replaced by a forest that connects the same
@@ -22,9 +24,8 @@ in a pair of some of few groups. Slots and pieces that most of a key's members s
 Rows come sorted by key, and a key of more than HOT rows isn't held: its rows go
 by their finer keys to other tasks. Groups are the connected components.
 
-Rows travel by the first segment's indices, once for all pairs it is the first of; the
-other segments are expanded where they arrive. Where the table is large they travel for each pair
-by some bits of the second's as well.
+Rows travel by a segment or by a key's first slot, once for all keys it is the first of; the
+keys are made where they arrive. Where the table is large they travel by the first two slots.
 
 Defined results: null ids and null or empty texts are no duplicates of anything;
 a text without letters and digits is a duplicate of equal texts alone. Words are runs of letters or of digits. Rows that share an id are
@@ -34,8 +35,9 @@ Very long texts count whole."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,8 @@ DEPTH = 3
 PRINT = [f"p{i}" for i in range(PAIRS)]
 SKETCH = ["s0", "s1"]
 SLOTS = 16
+#: By slots that agree: how many are filled at most in near copies in which no more agree.
+FILLED = [max(f for f in range(SLOTS + 1) if AGREE * f <= a) for a in range(6)]
 
 
 # The code
@@ -215,11 +219,15 @@ def forest(prints: np.ndarray, most: int, budget: int | None = None) -> tuple[np
     return np.concatenate(edges), np.zeros(0, dtype=np.int64)
 
 
+def slots_of(prints: np.ndarray) -> np.ndarray:
+    """The sketches' bytes: rows by 16."""
+    return np.ascontiguousarray(prints[:, PAIRS:]).view(np.uint8).reshape(len(prints), SLOTS)
+
+
 def pieces(prints: np.ndarray) -> np.ndarray:
     """The halves of all segments, 11 and 12 bits, and the slots of the sketch: rows by 16, each."""
     halves = [prints[:, part] >> a & ((1 << (b - a)) - 1) for part in range(PAIRS) for a, b in ((23, 34), (34, 46), (0, 11), (11, 23))]
-    slots = np.ascontiguousarray(prints[:, PAIRS:]).view(np.uint8).reshape(len(prints), SLOTS)
-    return np.concatenate([np.stack(halves, 1), slots], 1)
+    return np.concatenate([np.stack(halves, 1), slots_of(prints)], 1)
 
 
 def constant(parts: np.ndarray) -> tuple[set[int], set[int]]:
@@ -285,10 +293,16 @@ def linked(prints: np.ndarray, most: int, depth: int = 0) -> np.ndarray:
     keyed = finer_keys(parts, constant(parts))
     if keyed is None:
         return np.concatenate([edges, rest[forest(prints[rest], most)[0]]])
+    return connected(prints, ((rest[own], keys) for own, keys in keyed), most, edges, depth)
+
+
+def connected(prints: np.ndarray, keyed: Iterable[tuple[np.ndarray, np.ndarray]], most: int, edges: np.ndarray = np.zeros((0, 2), np.int64), depth: int = -1) -> np.ndarray:
+    """The edges and more, till they connect what shares a key and is alike. keyed: places of rows and their keys, kind by
+    kind; what one kind connects the next don't compare."""
     label = labels(len(prints), edges)
     for own, keys in keyed:
-        order = rest[own[np.argsort(keys, kind="stable")]]
-        keys = np.sort(keys)
+        by = np.argsort(keys, kind="stable")
+        order, keys = own[by], keys[by]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         size = np.diff(start, append=len(keys))
         fresh = [np.zeros((0, 2), dtype=np.int64)]
@@ -310,28 +324,6 @@ def linked(prints: np.ndarray, most: int, depth: int = 0) -> np.ndarray:
     return edges
 
 
-def bucket_edges(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
-    """Verified pairs of places that share a key, as a two-column array; large groups give forests."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    size = np.diff(start, append=len(keys))
-    found = []
-    few = (size > 1) & (size <= FOREST)
-    for a, b in group_pairs(start[few], size[few]):
-        x, y = order[a], order[b]
-        near = alike(prints[x], prints[y], most)
-        found.append(np.stack([ids[x[near]], ids[y[near]]], 1))
-    for s, m in zip(start[size > FOREST], size[size > FOREST]):
-        own = order[s : s + m]
-        own = own[np.argsort(ids[own], kind="stable")]
-        edges = linked(prints[own], most)
-        found.append(np.stack([ids[own[edges[:, 0]]], ids[own[edges[:, 1]]]], 1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    pairs = np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1)
-    return np.unique(pairs, axis=0)
-
-
 def local_forest(pairs: np.ndarray) -> np.ndarray:
     """As many edges as connect the same ids, each to the smallest of its set."""
     if not len(pairs):
@@ -347,13 +339,40 @@ def segment(parts: list[np.ndarray] | np.ndarray, i: int) -> np.ndarray:
     return parts[i >> 1] & ((1 << SEGMENT) - 1) if i & 1 else parts[i >> 1] >> SEGMENT
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """Places, in order, of the keys that occur more than once."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    more = np.zeros(len(keys), dtype=bool)
-    more[order[1:][same]] = more[order[:-1][same]] = True
-    return np.flatnonzero(more)
+def fewest(kind: tuple[int, ...]) -> int:
+    """In how many slots near copies agree at least that need keys of these slots. Any 5 of 16 have three in one half; any
+    4 in three sets have three in one, or two in one and one in the next."""
+    if len(kind) < 3:
+        return len(kind)
+    if len({2 * i // SLOTS for i in kind}) == 1:
+        return 5
+    sets = [3 * i // SLOTS for i in kind]
+    return 4 if len(set(sets)) == 1 or any(sets.count(g) == 2 and (g + 1) % 3 in sets for g in sets) else 3
+
+
+def kinds(shared: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """The slots of keys that begin with the shared ones, at most three."""
+    return [(*shared, *rest) for n in range(4 - len(shared)) for rest in combinations(range(shared[-1] + 1, SLOTS), n)]
+
+
+def slot_keys(prints: np.ndarray, shared: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows and their keys, kind by kind, of the kinds that begin with the shared slots."""
+    slots = slots_of(prints)
+    filled = (slots > 0).sum(1)
+    within = [np.flatnonzero(filled <= most) for most in FILLED]
+    columns = slots.T.astype(np.int64)
+    for kind in kinds(shared):
+        own = within[fewest(kind)]
+        for i in kind:
+            own = own[columns[i, own] > 0]
+        if len(own) > 1:
+            yield own, sum((columns[i, own] << 8 * x for x, i in enumerate(kind)), np.int64(0))
+
+
+def segment_keys(prints: np.ndarray, i: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows and their keys: the i-th segment with each codeword near the other segment of its part."""
+    own, index = nearby(segment(prints.T, i ^ 1))
+    yield own, segment(prints.T, i)[own] << 12 | index
 
 
 def by_key(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[tuple[bool, pa.Table]]:
@@ -394,26 +413,28 @@ def near_pairs(prints: DataFrame, most: int = MAX_DISTANCE, hot: int = HOT) -> D
     """a, b: edges between ids of different fingerprints, enough to connect each group."""
     spark = prints.sparkSession
     rows = prints.count()
-    bits = max(0, min(12, math.ceil(math.log2(max(1, rows * 5.4 / 4096 / ROWS_PER_KEY)))))
     carried = [*PRINT, *SKETCH]
-    pairs = [(i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
-    legs = [(i, [j]) for i, j in pairs] if bits else [(i, list(range(i + 1, SEGMENTS))) for i in range(SEGMENTS - 1)]
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * 6 * len(legs) / ROWS_PER_TASK))
+    # what rows travel by: slots, with the most that are filled in rows for which these begin a key; or a segment
+    if rows > 256 * ROWS_PER_KEY:
+        slot_legs = [((i,), FILLED[1]) for i in range(SLOTS)] + [(x, max(FILLED[fewest(k)] for k in kinds(x))) for x in combinations(range(SLOTS), 2)]
+    else:
+        slot_legs = [((i,), max(FILLED[fewest(k)] for k in kinds((i,)))) for i in range(SLOTS)]
+    legs = [*slot_legs, *range(SEGMENTS)]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * len(legs) / ROWS_PER_TASK))
     fields = ", ".join(f"{p} bigint" for p in carried)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
-            for leg, (i, others) in enumerate(legs):
-                of, index = nearby(segment(columns[1:], i))
-                if bits:
-                    of_b, b_index = nearby(segment(columns[1:], others[0])[of])
-                    both = np.unique(np.stack([of_b, b_index >> (12 - bits)], 1), axis=0)
-                    of, index, top = of[both[:, 0]], index[both[:, 0]], both[:, 1]
+            slots = slots_of(np.stack(columns[1:], 1))
+            filled = (slots > 0).sum(1)
+            for leg, by in enumerate(legs):
+                if isinstance(by, int):
+                    own, value = np.arange(batch.num_rows), segment(columns[1:], by)
                 else:
-                    top = np.zeros(len(of), dtype=np.int64)
-                route = (top << 17 | index << 5 | leg).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(route), *(pa.array(c[of]) for c in columns)], names=["route", "id", *carried])
+                    own = np.flatnonzero((slots[:, by[0]] > 0).all(1) & (filled <= by[1]))
+                    value = sum((slots[own, i].astype(np.int64) << 8 * x for x, i in enumerate(by[0])), np.int64(0))
+                yield pa.RecordBatch.from_arrays([pa.array((value << 8 | leg).astype(np.int32)), *(pa.array(c[own]) for c in columns)], names=["route", "id", *carried])
 
     def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return table.column(0).to_numpy().astype(np.int64), table["id"].to_numpy(), np.stack([table[p].to_numpy() for p in carried], 1)
@@ -428,28 +449,24 @@ def near_pairs(prints: DataFrame, most: int = MAX_DISTANCE, hot: int = HOT) -> D
         for flows, table in by_key(batches, hot):
             routes, ids, prints = arrays(table)
             if flows:
-                leg = int(routes[0]) & 31
-                for own, keys in finer_keys(pieces(prints), ({2 * legs[leg][0], 2 * legs[leg][0] + 1}, set())):
+                by = legs[int(routes[0]) & 255]
+                for own, keys in finer_keys(pieces(prints), ({2 * by, 2 * by + 1}, set()) if isinstance(by, int) else (set(), set(by[0]))):
                     finer = mixed((mixed(keys.astype(np.uint64)) ^ routes[own].astype(np.uint64))).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(finer), pa.array(ids[own]), pa.nulls(len(own), pa.int64()), *(pa.array(prints[own, c]) for c in range(len(carried)))], names=["finer", "id", "other", *carried])
                 continue
             found = []
-            for leg in np.unique(routes & 31):
-                own = np.flatnonzero(routes & 31 == leg)
-                for j in legs[leg][1]:
-                    of, b_index = nearby(segment(prints.T, j)[own])
-                    of = own[of]
-                    if bits:
-                        here = b_index >> (12 - bits) == routes[of] >> 17
-                        of, b_index = of[here], b_index[here]
-                    keys = routes[of] << 12 | b_index
-                    shared = repeated(keys)
-                    found.append(bucket_edges(keys[shared], ids[of[shared]], prints[of[shared]], most))
+            same = np.concatenate([[False], routes[1:] == routes[:-1], [False]])
+            met = np.flatnonzero(same[1:] | same[:-1])
+            for leg in np.unique(routes[met] & 255):
+                own, by = met[routes[met] & 255 == leg], legs[leg]
+                keyed = segment_keys(prints[own], by) if isinstance(by, int) else slot_keys(prints[own], by[0])
+                found.append(ids[own[connected(prints[own], keyed, most)]])
             yield from emitted(found)
 
     def meet_finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in by_key(batches, None):
-            yield from emitted([bucket_edges(*arrays(table), most)])
+            keys, ids, prints = arrays(table)
+            yield from emitted([ids[connected(prints, [(np.arange(len(ids)), keys)], most)]])
 
     out = f"finer bigint, id bigint, other bigint, {fields}"
     routed = prints.select("id", *carried).mapInArrow(route, f"route int, id bigint, {fields}").repartition(tasks, "route").sortWithinPartitions("route")

@@ -1,12 +1,14 @@
 """SimHash keys, groups and verification beside brute force over all pairs."""
 
 import time
+from itertools import combinations
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomvec.llm import simhash
+from loomvec.session import stored
 
 
 def codewords():
@@ -84,6 +86,63 @@ def test_recall_by_distance_of_groups_of_two(spark, monkeypatch):
     assert {(r.a, r.b) for r in simhash.near_pairs(prints).collect()} == found
 
 
+def frame(spark, prints):
+    """Fingerprints with sketches, numbered from 0."""
+    rows = [(i, *p) for i, p in enumerate(prints.tolist())]
+    return spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{c} bigint" for c in [*simhash.PRINT, *simhash.SKETCH]))
+
+
+def test_any_four_slots_have_a_key():
+    """So many slots in common as near copies have at least hold a key, whichever they are."""
+    every = [k for i in range(simhash.SLOTS) for k in simhash.kinds((i,))]
+    assert simhash.FILLED == [0, 3, 6, 10, 13, 16]
+    for agree in range(1, 6):
+        useful = [set(k) for k in every if simhash.fewest(k) >= agree]
+        for common in combinations(range(simhash.SLOTS), agree):
+            assert any(k <= set(common) for k in useful)
+    assert sum(simhash.fewest(k) == 5 for k in every) == 112
+
+
+def test_every_alike_pair_is_found(spark, monkeypatch):
+    """At MAX_DISTANCE with the fewest slots that may agree, for any number of filled ones; at SURE bits with none."""
+    rng = np.random.default_rng(21)
+    prints = []
+    for g in range(3400):
+        filled = g % 17
+        one, other = rng.integers(1, 256, (2, simhash.SLOTS)).astype(np.uint8)
+        at = rng.permutation(simhash.SLOTS)
+        least = next(a for a in range(simhash.SLOTS) if a >= simhash.AGREE * filled)
+        other = np.where(other == one, other % 255 + 1, other).astype(np.uint8)
+        other[at[:least]] = one[at[:least]]
+        one[at[filled:]] = other[at[filled:]] = 0
+        if filled > least > 1:
+            other[at[least]] = 0  # filled in one alone
+        bits = rng.integers(0, 2, simhash.BITS)
+        twin = bits.copy()
+        twin[rng.choice(simhash.BITS, simhash.MAX_DISTANCE if filled else simhash.SURE, replace=False)] ^= 1
+        for b, s in ((bits, one), (twin, other)):
+            prints.append([*(int("".join(map(str, part)), 2) for part in b.reshape(simhash.PAIRS, -1)), *s.view(np.int64).tolist()])
+    df = frame(spark, np.array(prints, dtype=np.int64))
+    expected = {(2 * g, 2 * g + 1) for g in range(3400)}
+    assert {(r.a, r.b) for r in simhash.near_pairs(df).collect()} == expected
+    monkeypatch.setattr(simhash, "ROWS_PER_KEY", 5)
+    assert {(r.a, r.b) for r in simhash.near_pairs(df).collect()} == expected
+
+
+def test_work_grows_with_the_table(spark):
+    """Texts of one language, whose fingerprints have most bits in common, don't meet by them."""
+    rng = np.random.default_rng(22)
+    took = []
+    for n in (15_000, 60_000):
+        bits = rng.random((n, simhash.PAIRS, 46)) < np.where(rng.random((simhash.PAIRS, 46)) < 0.5, 0.2, 0.8)
+        prints = np.concatenate([bits @ (1 << np.arange(46)), rng.integers(0, 256, (n, simhash.SLOTS)).astype(np.uint8).view(np.int64)], axis=1)
+        df = stored(frame(spark, prints), "prints")
+        began = time.time()
+        assert simhash.near_pairs(df).count() < n / 1000
+        took.append(time.time() - began)
+    assert took[1] < 6 * took[0], took
+
+
 def test_near_copies_of_all_sizes(spark):
     rng = np.random.default_rng(3)
     vocabulary = ["".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(5000)]
