@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomvec.llm.textarrays import text_slices
+from loomvec.llm.textarrays import lean, text_slices
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -201,7 +201,7 @@ def with_counts(docs: DataFrame, out_col: str, text_col: str = "text", path: str
                 n = pa.array(bpe.counts([t or "" for t in texts]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, n], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, vocabulary), schema)
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", path: str = DEFAULT_VOCABULARY) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvec.llm.textarrays import BLANK, Words, text_slices
+from loomvec.llm.textarrays import BLANK, Words, lean, text_slices
 
 BUCKETS = 1 << 16
 #: Pseudo-count that spreads mass over trigrams a language hasn't shown, log-odds that a switch costs, and
@@ -137,7 +137,7 @@ def trigram_counts(docs: DataFrame, languages: list[str], text_col: str, lang_co
             yield pa.RecordBatch.from_pydict({"lang": np.full(len(at), lang, np.int32), "bucket": at.astype(np.int32), "n": n[at]})
 
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("length(text) > 0").where(F.col("lang").isin(languages))
-    return known.mapInArrow(run, SEEN).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return known.mapInArrow(lean(run), SEEN).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class LanguageModel:
@@ -311,6 +311,29 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return chosen.mapInArrow(run, f"`{id_col}` {dict(chosen.dtypes)['id']}, lang string, share double, spans {SPANS}")
 
 
+def word_labels(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The label of every word of the texts, its letters and its text. Words are found and scored in smaller slices
+    than paths, and of the scores only labels that some word can have are held."""
+    scores, letters, n = [], [], []
+    for _, _, texts in text_slices(column):
+        words = ScriptWords(texts)
+        own = model.scores(words)
+        used = np.flatnonzero(np.isfinite(own).any(0))
+        scores.append((used, own[:, used]))
+        letters.append((words.char_to - words.char_from).astype(np.float64))
+        n.append(np.diff(words.text_words))
+    del words, own
+    used = np.unique(np.concatenate([x for x, _ in scores]))
+    every = np.full((sum(map(len, letters)), len(used)), -np.inf, dtype=np.float32)
+    begin = 0
+    for x, own in scores:
+        every[begin : begin + len(own), np.searchsorted(used, x)] = own
+        begin += len(own)
+    n = np.concatenate(n)
+    path = viterbi(every, np.concatenate([[0], np.cumsum(n)]))
+    return used[path] if len(path) else path, np.concatenate(letters), np.repeat(np.arange(len(n)), n)
+
+
 def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows, unchanged, of which at least so large a part of the letters has an
     identified language; rows without letters go."""
@@ -320,13 +343,10 @@ def accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text", leas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         und = len(sent.value.languages)
         for batch in batches:
-            for a, b, texts in text_slices(batch.column(at), LABELLED):
-                words = ScriptWords(texts)
-                path = viterbi(sent.value.scores(words), words.text_words)
-                letters = (words.char_to - words.char_from).astype(np.float64)
-                of = np.repeat(np.arange(b - a), np.diff(words.text_words))
+            for a, b, _ in text_slices(batch.column(at), LABELLED):
+                path, letters, of = word_labels(sent.value, batch.column(at).slice(a, b - a))
                 total = np.bincount(of, letters, b - a)
                 keep = (total > 0) & (np.bincount(of, letters * (path != und), b - a) >= least * total)
                 yield batch.slice(a, b - a).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from loomvec.llm.textarrays import Words, mixed, text_slices
+from loomvec.llm.textarrays import Words, lean, mixed, text_slices
 from loomvec.session import stored
 
 SEGMENT, SEGMENTS, PAIRS, BITS = 23, 8, 4, 184
@@ -162,7 +162,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 prints = fingerprint_slice(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, prints.T)], names=["id", *PRINT, *SKETCH])
 
-    return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, " + ", ".join(f"{p} bigint" for p in [*PRINT, *SKETCH]))
+    return chosen.mapInArrow(lean(run), f"id {dict(chosen.dtypes)['id']}, " + ", ".join(f"{p} bigint" for p in [*PRINT, *SKETCH]))
 
 
 # Search

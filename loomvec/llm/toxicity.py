@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvec.llm.textarrays import Words, mixed, text_slices, word_hashes
+from loomvec.llm.textarrays import Words, lean, mixed, text_slices, word_hashes
 from loomvec.session import stored
 
 #: Labelled documents that are learned from at most, chosen by a hash of their ids.
@@ -114,7 +114,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(classes[i:j][of]), pa.array(folds[i:j][of]), pa.array(contexts)], names=["feature", "toxic", "fold", "context"])
 
     keys = ("toxic", "fold")
-    once = rows.mapInArrow(run, COUNTED).distinct()
+    once = rows.mapInArrow(lean(run), COUNTED).distinct()
     by_word = stored(once.groupBy("feature", *keys).agg(F.count("*").alias("n")), "toxicity-words")
     prefix = by_word.where(f"length(feature) >= {PREFIX}").groupBy(F.concat(F.lit("p"), F.substring("feature", 1, PREFIX)).alias("feature"), *keys).agg(F.sum("n").alias("n"))
     total = by_word.groupBy(F.lit("n").alias("feature"), *keys).agg(F.sum("n").alias("n"))
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, id_col:
                     values = np.array([x for x, _ in scan_slice(sent.value[1 - fold], own)]).reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays([pa.array(np.ceil(np.minimum(v, 700) * 100).astype(np.int32)) for v in values.T], names=["a", "b"])
 
-    seen = rows.where("toxic = 0").select("text", "fold").mapInArrow(run, "a int, b int")
+    seen = rows.where("toxic = 0").select("text", "fold").mapInArrow(lean(run), "a int, b int")
     both = seen.select(F.posexplode(F.array("a", "b")).alias("which", "at")).groupBy("which", "at").count().collect()
     tails = [tail({r.at / 100: r["count"] for r in both if r.which == which}) for which in (0, 1)]
     return replace(model, tails=tuple(tails))
@@ -338,4 +338,4 @@ def clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", least_p
                 keep = [sent.value.p(x) > least_p for x, _ in scan_slice(sent.value, texts)]
                 yield batch.slice(a, b - a).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -1,12 +1,20 @@
 """The pipeline's stages, each on its own input, and the queries' registration."""
 
+import re
+import tracemalloc
 from collections import Counter, defaultdict
+from pathlib import Path
+from types import SimpleNamespace
 
 import __spark_entry__
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
-from loomvec.llm import bpe, language, packing, simhash, toxicity
+from loomvec.llm import bpe, language, packing, simhash, textarrays, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +96,85 @@ def test_eleven_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert "pipeline" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_worker_gives_memory_back():
+    """Nothing is held of what a task frees, nor of a step's vocabulary once the worker gets another step."""
+
+    def held() -> int:
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) // 1024
+
+    def sent(run, keeps=None):  # as workers get it
+        return cloudpickle.loads(cloudpickle.dumps(textarrays.lean(run, keeps)))
+
+    def run(batches):
+        for batch in batches:
+            parts = [np.ones(10_000, np.int64) for _ in range(2_000)]  # 160 MB, each under the size that is mapped by itself
+            kept.append(np.ones(10_000, np.int64))  # at the end of the heap
+            del parts
+            yield batch
+
+    kept, batch = [], pa.RecordBatch.from_pydict({"n": [1]})
+    textarrays.release()
+    before = held()
+    list(textarrays.lean(run)(iter([batch] * 3)))
+    assert held() < before + 60
+
+    def counts(batches):
+        for batch in batches:
+            bpe.vocabulary(bpe.DEFAULT_VOCABULARY)
+            yield batch
+
+    for _ in range(2):
+        list(sent(counts, bpe.vocabulary)(iter([batch])))
+        assert bpe.vocabulary.cache_info().currsize == 1
+    list(sent(lambda batches: batches)(iter([batch])))
+    assert bpe.vocabulary.cache_info().currsize == 0
+
+
+def test_every_stage_is_lean(monkeypatch):
+    """Each pass over the texts gives its memory back; the language stage's arrays stay below 70 MB for 1 MB of text."""
+
+    class Docs:
+        columns, schema = ["text"], None
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    released = []
+    monkeypatch.setattr(textarrays, "release", lambda: released.append(1))
+    texts = [("the quick brown fox said that e\u0301te " * 600)] * 45  # with a mark, which takes its neighbour's script
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    counts = np.ones(language.BUCKETS + len(language.script_table()[0]))
+    model = language.LanguageModel({x: counts for x in ("de", "en", "fr", "es")})
+    for stage in (language.accepted(Docs(), model), toxicity.clean(Docs(), toxicity.ToxicityModel({"fox": 2.0}))):
+        released.clear()
+        list(stage(iter([batch])))
+        assert len(released) == 2
+    tracemalloc.start()
+    list(language.accepted(Docs(), model)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("peak MB", peak / 1e6)
+    assert peak < 70e6
+
+
+def test_labels_of_slices():
+    """Words are scored in smaller slices than paths, with the labels that scoring all at once gives."""
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).slice(0, 300).to_pylist()
+    counts: dict[str, np.ndarray] = {}
+    for r in rows:
+        if r["text"] and r["lang"]:
+            words = language.ScriptWords([r["text"]])
+            own = counts.setdefault(r["lang"], np.zeros(language.BUCKETS + len(language.script_table()[0])))
+            own[: language.BUCKETS] += np.bincount(words.buckets, minlength=language.BUCKETS)
+            own[language.BUCKETS :] += np.bincount(words.script, words.letters(), len(own) - language.BUCKETS)
+    model = language.LanguageModel(counts)
+    odd = [None, "", "123 !!", "Привет мир ελληνικά שלום 漢字かな ไทย", "the quick " * 40_000]
+    for texts in ([r["text"] for r in rows] + odd, odd[:3]):
+        words = language.ScriptWords(texts)
+        path, letters, of = language.word_labels(model, pa.array(texts, pa.string()))
+        assert (path == language.viterbi(model.scores(words), words.text_words)).all()
+        assert (letters == words.char_to - words.char_from).all()
+        assert (of == np.repeat(np.arange(len(texts)), np.diff(words.text_words))).all()
