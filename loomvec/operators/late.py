@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomvec.errors import DimensionMismatch
 from loomvec.functions.vectors import cosine, dot, total
+from loomvec.operators import blocks
+from loomvec.operators.blocks import Kind
 from loomvec.operators.pooling import matrix
 from loomvec.operators.retrieval import top_k
 
+#: Bytes of queries that are sent to every task at most.
 BLOCK_BYTES = 64 << 20
 
 
@@ -35,79 +33,23 @@ def maxsim_long(scores: DataFrame, query: str = "qid", doc: str = "did", token:
     return best.groupBy(query, doc).agg(F.sum("best").alias(score))
 
 
+def _sides(queries: DataFrame, corpus: DataFrame, query: str, doc: str, q_tokens: str, d_tokens: str) -> tuple[DataFrame, DataFrame]:
+    """id and tokens of the rows that have some."""
+    own = lambda df, i, t: df.where(F.col(i).isNotNull() & (F.size(t) > 0)).select(F.col(i).cast("bigint").alias(i), matrix(t).alias("tokens"))
+    return own(queries, query, q_tokens), own(corpus, doc, d_tokens)
+
+
 def maxsim_knn(queries: DataFrame, corpus: DataFrame, k: int, binary: bool = False, pair: bool = False, exclude_same: bool = False, query: str = "qid", doc: str = "did", q_tokens: str = "q", d_tokens: str = "d") -> DataFrame:
     """query, doc, score, rank: the k best documents of every query by maxsim, by its
     quantised form on sign bits (binary), or by maxpair_cosine (pair).
 
-    Queries of at most BLOCK_BYTES of tokens are sent to every task; more are dealt into blocks of that
-    size, each joined with shards of the corpus. Products are matrix products over a batch, and each
-    batch keeps k documents a query. Empty and null token lists are left out."""
-    queries = queries.where(F.size(q_tokens) > 0).select(F.col(query).cast("bigint").alias(query), matrix(q_tokens).alias("q"))
-    corpus = corpus.where(F.size(d_tokens) > 0).select(F.col(doc).cast("bigint").alias(doc), matrix(d_tokens).alias("d"))
-    schema, names = f"`{query}` bigint, `{doc}` bigint, score double", [query, doc, "score"]
-    size = queries.agg(F.sum(F.size("q").cast("bigint") * F.size(F.element_at("q", 1)) * 8)).first()[0]
-    if not size:
-        return queries.sparkSession.createDataFrame([], schema + ", rank int")
-    score = _scorer(k, binary, pair, exclude_same, names)
-    if size <= BLOCK_BYTES:
-        table = queries.toArrow().combine_chunks()
-        held = queries.sparkSession.sparkContext.broadcast((table[query].to_numpy(), *_tokens(table["q"].combine_chunks(), binary, pair)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield from score(held.value, batch)
-
-        return top_k(corpus.mapInArrow(run, schema), k, query, doc)
-    blocks = -(-size // BLOCK_BYTES)
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    parts = queries.withColumn("block", F.pmod(F.xxhash64(query), F.lit(blocks))).withColumn("shard", every)
-    shards = corpus.withColumn("shard", F.pmod(F.xxhash64(doc), F.lit(blocks))).withColumn("block", every)
-
-    def meet(q: pa.Table, d: pa.Table) -> pa.Table:
-        out = pa.schema([(query, pa.int64()), (doc, pa.int64()), ("score", pa.float64())])
-        if not q.num_rows or not d.num_rows:
-            return out.empty_table()
-        q = q.combine_chunks()
-        own = q[query].to_numpy(), *_tokens(q["q"].combine_chunks(), binary, pair)
-        return pa.Table.from_batches([x for batch in d.select([doc, "d"]).to_batches() for x in score(own, batch)], out)
-
-    return top_k(parts.groupBy("block", "shard").cogroup(shards.groupBy("block", "shard")).applyInArrow(meet, schema), k, query, doc)
-
-
-def _tokens(column: pa.Array, binary: bool, unit: bool) -> tuple[np.ndarray, np.ndarray]:
-    """All token vectors, as signs or of unit length, and where each list's begin."""
-    sizes = column.value_lengths().to_numpy()
-    inner = column.flatten()
-    width = set(inner.value_lengths().to_pylist())
-    if len(width) != 1:
-        raise DimensionMismatch(min(width), max(width))
-    rows = inner.flatten().to_numpy(zero_copy_only=False).reshape(len(inner), -1)
-    if unit:
-        norm = np.sqrt((rows * rows).sum(1, keepdims=True))
-        rows = rows / np.where(norm > 0, norm, 1)
-    return (np.where(rows >= 0, 1.0, -1.0) if binary else rows), np.cumsum(sizes) - sizes
-
-
-def _scorer(k: int, binary: bool, pair: bool, exclude_same: bool, names: list[str]):
-    fold = np.maximum if pair else np.add
-
-    def run(held: tuple, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        q_id, q, q_at = held
-        for a in range(0, batch.num_rows, 512):
-            part = batch.slice(a, 512)
-            d, d_at = _tokens(part.column(1), binary, pair)
-            if d.shape[1] != q.shape[1]:
-                raise DimensionMismatch(q.shape[1], d.shape[1])
-            products = q @ d.T
-            if binary:
-                products = (products + q.shape[1]) / 2
-            scores = fold.reduceat(np.maximum.reduceat(products, d_at, axis=1), q_at, axis=0)
-            ids = np.broadcast_to(part.column(0).to_numpy(), scores.shape)
-            if exclude_same:
-                scores[q_id[:, None] == ids] = -np.inf
-            order = np.lexsort((ids, -scores), axis=1)[:, :k]
-            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-            keep = scores > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, keep.sum(1))), pa.array(ids[keep]), pa.array(scores[keep])], names=names)
-
-    return run
+    Few queries are sent to every task; more meet the corpus block by block (operators.blocks), and a task
+    keeps k documents a query. Empty and null token lists are left out."""
+    kind = Kind("bits" if binary else "unit" if pair else "dot", pair)
+    found = blocks.nearest(*_sides(queries, corpus, query, doc, q_tokens, d_tokens), kind, k, [query, doc, "score"], BLOCK_BYTES, exclude_same)
+    return top_k(found, k, query, doc)
+
+
+def maxsim_scores(queries: DataFrame, corpus: DataFrame, query: str = "qid", doc: str = "did", q_tokens: str = "q", d_tokens: str = "d", digits: int | None = None) -> DataFrame:
+    """query, doc, score of all pairs by maxsim, as matrix products, rounded to `digits` where given. For all pairs as a result; for the best of them there is maxsim_knn."""
+    return blocks.every(*_sides(queries, corpus, query, doc, q_tokens, d_tokens), Kind("dot"), [query, doc, "score"], BLOCK_BYTES, digits)

@@ -18,7 +18,7 @@ from loomvec.functions import tokenizer
 from loomvec.functions import vectors as vx
 from loomvec.operators import neural, pooling, retrieval, sparse
 from loomvec.plans.catalogue import ELEMENTS, MODELS, POOL, SIGN_EQUAL, TAIL, TOP5, TOKENS, VALID, PAIRS, V, both_sides, documents_of_tokens, hash_sql, long_form, query, rounded, token_sides, vectors
-from loomvec.session import table
+from loomvec.session import scratch, stored, table
 from loomvec.sources import files, registry
 
 # Sparse vectors with repeated indices: sixteen elements under eight indices
@@ -255,9 +255,9 @@ def tokenizer_round_trip(spark, sf_dir):
 SELECT 'itself' AS other, true AS same UNION ALL SELECT 'short', NOT EXISTS (SELECT qid, did FROM f EXCEPT SELECT qid, did FROM s) AND NOT EXISTS (SELECT qid, did FROM s EXCEPT SELECT qid, did FROM f)""")
 def ranking_equality(spark, sf_dir):
     """Whether rankings have the same documents: of whole vectors, and of shortened ones."""
-    full = retrieval.knn(*both_sides(spark, sf_dir), 5, "cosine", exclude_same=True)
-    short = retrieval.knn(*both_sides(spark, sf_dir, 16), 5, "cosine", exclude_same=True)
-    return spark.createDataFrame([("itself", retrieval.same_answers(full, full)), ("short", retrieval.same_answers(full, short))], "other string, same boolean")
+    with scratch(spark):
+        full, short = (stored(retrieval.knn(*both_sides(spark, sf_dir, dims), 5, "cosine", exclude_same=True).select("qid", "did"), "ranking") for dims in (None, 16))
+        return spark.createDataFrame([("itself", retrieval.same_answers(full, full)), ("short", retrieval.same_answers(full, short))], "other string, same boolean")
 
 
 # Forecasts
