@@ -22,6 +22,8 @@ from loomvec.functions.vectors import col
 #: What a word is: a run of letters of any script.
 WORD = r"\p{L}+"
 KINDS = ("dense", "multi", "sparse", "patch", "forecast")
+#: Words that a Python worker handles at a time (one text may have more), and bytes of what it keeps of words seen.
+WORDS_AT_ONCE, KNOWN_BYTES = 1 << 17, 64 << 20
 
 
 class Encoder(Protocol):
@@ -58,53 +60,82 @@ class HashEncoder:
         if self.kind == "multi":
             return df.withColumn(out_col, self.token_vectors(found))
         if self.kind == "sparse":
-            return _mapped(df, found, out_col, "array<struct<index:bigint,weight:double>>", lambda lists, known: counted_places(lists, self.dimension, known))
-        return _mapped(df, F.array_distinct(found), out_col, "array<double>", lambda lists, known: mean_vectors(lists, self.dimension, known))
+            return _mapped(df, found, out_col, "array<struct<index:bigint,weight:double>>", 32, lambda lists, known: counted_places(lists, self.dimension, known))
+        return _mapped(df, F.array_distinct(found), out_col, "array<double>", 40 + 8 * self.dimension, lambda lists, known: mean_vectors(lists, self.dimension, known))
 
 
-def _mapped(df: DataFrame, listed: Column, out_col: str, kind: str, encode) -> DataFrame:
-    """df with encode(word lists, a store of words seen) as out_col."""
+class Known:
+    """What was computed of words seen lately, in two generations: frequent words stay, and both take KNOWN_BYTES at most."""
+
+    def __init__(self, value_bytes: int):
+        self.most, self.new, self.old = max(1024, KNOWN_BYTES // (2 * (200 + value_bytes))), {}, {}
+
+    def values(self, words: list[str], compute) -> list:
+        """Of each word; compute makes a list of them for those that aren't known."""
+        out = [self.new.get(w, self.old.get(w)) for w in words]
+        missing = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(missing, compute([words[i] for i in missing])):
+            out[i] = x
+        self.new.update(zip(words, out))
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new if len(self.new) <= 2 * self.most else {}
+        return out
+
+
+def _mapped(df: DataFrame, listed: Column, out_col: str, kind: str, value_bytes: int, encode) -> DataFrame:
+    """df with encode(word lists, a store of words seen) as out_col. value_bytes: of what is stored of a word."""
     schema = df.drop(out_col).withColumn(out_col, F.lit(None).cast(kind)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        known = Known(value_bytes)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], encode(batch.column(batch.num_columns - 1), known)], names=schema.names)
+            for part in sliced(batch, batch.num_columns - 1):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], encode(part.column(part.num_columns - 1), known)], names=schema.names)
 
     return df.withColumn(f"_{out_col}_words", listed).drop(out_col).mapInArrow(run, schema)
 
 
-def counted_places(lists: pa.ListArray, dimension: int, known: dict[str, int]) -> pa.Array:
+def sliced(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose lists in column `at` have WORDS_AT_ONCE words together, or one row."""
+    ends = np.cumsum(batch.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WORDS_AT_ONCE, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def counted_places(lists: pa.ListArray, dimension: int, known: Known) -> pa.Array:
     """(index, ln(1 + count)) of each list's words hashed to `dimension` places, in order of index."""
     n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     found = lists.flatten().dictionary_encode()
     own = found.dictionary.to_pylist()
-    if len(known) > 1_000_000:
-        known.clear()
-    for w in own:
-        if w not in known:
-            known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimension
-    table = np.array([known[w] for w in own], dtype=np.int64)
+    table = np.array(known.values(own, lambda new: [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimension for w in new]), dtype=np.int64)
     keys, counts = np.unique(np.repeat(np.arange(len(n)), n) * dimension + table[found.indices.to_numpy(zero_copy_only=False)], return_counts=True)
     offsets = np.concatenate([[0], np.cumsum(np.bincount(keys // dimension, minlength=len(n)))]).astype(np.int32)
     inner = pa.StructArray.from_arrays([pa.array(keys % dimension), pa.array(np.log1p(counts))], names=["index", "weight"])
     return pa.ListArray.from_arrays(pa.array(offsets), inner, mask=lists.is_null())
 
 
-def mean_vectors(lists: pa.ListArray, dimension: int, known: dict[str, np.ndarray]) -> pa.Array:
-    """The unit mean of each list's words, zeros without words. Every word is hashed
-    once as long as `known` has room."""
+def hashed_rows(words: list[str], dimension: int) -> list[bytes]:
+    """hash_value of each word in all dimensions, as bytes of doubles."""
+    ends = [f":{d}".encode() for d in range(dimension)]
+    digests = b"".join(hashlib.md5(w + e).digest() for w in map(str.encode, words) for e in ends)
+    rows = np.frombuffer(digests, ">u4")[::4].astype(np.float64) / 2147483648.0 - 1.0
+    return [rows[i : i + dimension].tobytes() for i in range(0, len(rows), dimension)]
+
+
+def mean_vectors(lists: pa.ListArray, dimension: int, known: Known) -> pa.Array:
+    """The unit mean of each list's words, zeros without words. Frequent words
+    are hashed once."""
     n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     found = lists.flatten().dictionary_encode()
     own = found.dictionary.to_pylist()
-    if len(known) > 1_000_000:
-        known.clear()
-    for w in own:
-        if w not in known:
-            known[w] = np.array([int(hashlib.md5(f"{w}:{d}".encode()).hexdigest()[:8], 16) / 2147483648.0 - 1.0 for d in range(dimension)])
-    table = np.stack([known[w] for w in own]) if own else np.zeros((0, dimension))
+    table = np.frombuffer(b"".join(known.values(own, lambda new: hashed_rows(new, dimension)))).reshape(-1, dimension)
     sums = np.zeros((len(n), dimension))
-    np.add.at(sums, np.repeat(np.arange(len(n)), n), table[found.indices.to_numpy(zero_copy_only=False)])
+    row, word = np.repeat(np.arange(len(n)), n), found.indices.to_numpy(zero_copy_only=False)
+    for d in range(dimension):
+        sums[:, d] = np.bincount(row, table[word, d], minlength=len(n))
     means = sums / np.maximum(n, 1)[:, None]
     norm = np.sqrt((means * means).sum(1, keepdims=True))
     unit = np.where(norm > 0, means / np.where(norm > 0, norm, 1), means)
