@@ -156,7 +156,9 @@ def _products(held: tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray], docs: D
                 yield pa.RecordBatch.from_pydict({"qid": np.repeat(q_id, keep.sum(1)), "did": d_id[order][keep], "score": best[keep]})
             rest = rest.slice(end)
 
-    found = own.repartition("did").sortWithinPartitions("did").mapInArrow(run, schema)
+    # a number of its own, as Spark would merge partitions by their bytes in files, which are few for so many rows to sort
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    found = own.repartition(parts, "did").sortWithinPartitions("did").mapInArrow(run, schema)
     return found.select(*(F.nullif(F.col(c), F.lit(NO_ID)).alias(c) for c in ("qid", "did")), "score")
 
 
